@@ -7,7 +7,7 @@ an update rewrites sums, never recounts the collection. The first load is the de
 
 Path of a load: runs of rows of one record are packed into lists where they are read (one row a run and
 part instead of one a token), lists are brought together by record and part (``PARTS`` hash parts of a record's
-terms, so that one huge record is several tasks), exact repeats are dropped, spellings are merged (NFC,
+terms, so that one huge record is several tasks; records go by a 128-bit hash), exact repeats are dropped, spellings are merged (NFC,
 surrounding blanks), and each task pre-aggregates by term before the second, small shuffle.
 
 Defined results: null tokens are no terms and make no record; tokens of blanks only make a record but no
@@ -17,6 +17,7 @@ term; null frequencies count as 0; exact repeats of a row count once; null proje
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,9 @@ HELD = 200_000
 #: Partitions of the persistent table.
 BUCKETS = 64
 
-_PACKED = "project string, file string, part int, sign int, chunk int, tokens array<string>, freqs array<bigint>"
+#: Signs between packed tokens and for a sign itself; see ``_escaped``.
+_SEP, _ESC = "\x1f", "\x1e"
+_PACKED = "h1 bigint, h2 bigint, part int, sign int, chunk int, plain boolean, tokens string, freqs string"
 _DELTAS = "kind int, key string, occurrences bigint, records bigint"
 
 
@@ -42,52 +45,63 @@ def normal(token: str) -> str:
     return token.strip() if token.isascii() else unicodedata.normalize("NFC", token).strip()
 
 
+def _escaped(token: str) -> str:
+    """``token`` so that packed tokens can be told apart whatever they hold."""
+    return token.replace(_ESC, _ESC + "0").replace(_SEP, _ESC + "1") if _ESC in token or _SEP in token else token
+
+
+def _unescaped(token: str) -> str:
+    return token.replace(_ESC + "1", _SEP).replace(_ESC + "0", _ESC)
+
+
 def _pack(sign: int):
+    """Runs of rows of one record (h1, h2, chunk, token, freq) as one row for each part: tokens and frequencies as joined strings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow.compute as pc
         from xxhash import xxh32_intdigest
 
-        parts: dict[str, int] = {}
+        parts: dict[str, int] = {}  # -1 - part for tokens that aren't in normal form
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            project, file, chunk, token, freq = (b.column(i) for i in range(5))
+            h1, h2, chunk, token, freq = (b.column(i) for i in range(5))
             coded = token.dictionary_encode()
             words = coded.dictionary.to_pylist()
             if len(parts) > HELD:
                 parts.clear()
-            part_of = np.empty(len(words), dtype=np.int64)
-            for i, w in enumerate(words):
-                p = parts.get(w)
-                if p is None:
-                    p = parts[w] = xxh32_intdigest(normal(w)) % PARTS
-                part_of[i] = p
-            new = np.zeros(n, dtype=bool)
-            new[0] = True
-            for c in (project, file, chunk):
-                codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                new[1:] |= codes[1:] != codes[:-1]
-            group = np.cumsum(new) - 1
+            for w in words:
+                if w not in parts:
+                    v = normal(w)
+                    part = xxh32_intdigest(v) % PARTS
+                    parts[w] = part if v == w and _ESC not in w and _SEP not in w and w else -1 - part
+            of = np.fromiter(map(parts.__getitem__, words), dtype=np.int64, count=len(words))
             code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.flatnonzero(code >= 0)
             if not len(keep):
                 continue
-            slot = group[keep] * PARTS + part_of[code[keep]]
+            chunks = chunk.cast(pa.int64()).fill_null(-1 << 40).to_numpy(zero_copy_only=False)
+            new = np.zeros(n, dtype=bool)
+            for c in (h1.to_numpy(), h2.to_numpy(), chunks):
+                new[1:] |= c[1:] != c[:-1]
+            part = of[code[keep]]
+            plain = part >= 0
+            slot = np.cumsum(new)[keep] * PARTS + np.where(plain, part, -1 - part)
             order = np.argsort(slot, kind="stable")
             at, slot = keep[order], slot[order]
             starts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
             offsets = pa.array(np.append(starts, len(at)).astype(np.int32))
-            first = pa.array(at[starts])
-            take = pa.array(at)
-            m = len(starts)
+            first, m = pa.array(at[starts]), len(starts)
+            shown = pa.array([_escaped(w) for w in words], pa.string())
+            tokens = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.take(shown, pa.array(code[at]))), _SEP)
+            freqs = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.take(freq.cast(pa.int64()).fill_null(0).cast(pa.string()), pa.array(at))), " ")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pc.take(project, first), pc.take(file, first), pa.array((slot[starts] % PARTS).astype(np.int32)), pa.array(np.full(m, sign, dtype=np.int32)), pc.take(chunk, first).cast(pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pc.take(token, take)), pa.ListArray.from_arrays(offsets, pc.take(freq, take).cast(pa.int64()).fill_null(0)),
+                    pc.take(h1, first), pc.take(h2, first), pa.array((slot[starts] % PARTS).astype(np.int32)), pa.array(np.full(m, sign, dtype=np.int32)), pc.take(chunk, first).cast(pa.int32()),
+                    pa.array(np.minimum.reduceat(plain[order], starts)), tokens, freqs,
                 ],
-                ["project", "file", "part", "sign", "chunk", "tokens", "freqs"],
+                ["h1", "h2", "part", "sign", "chunk", "plain", "tokens", "freqs"],
             )
 
     return run
@@ -96,69 +110,65 @@ def _pack(sign: int):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by record and part, so that a record's lists follow each other."""
     import numpy as np
-    from xxhash import xxh3_128_hexdigest
 
-    sums: dict[str, list[int]] = {}
+    records: Counter = Counter()  # by term; occurrences are kept as what they exceed the records by
+    more: dict[str, int] = {}
     present: list[tuple[str, int]] = []
-    spelled: dict[str, str] = {}
 
     def close(key, rows):
         """One record's part: exact repeats are dropped within a sign, equal sides cancel."""
-        sides = []
+        name = f"{key[0]}:{key[1]}"
+        if len(rows) == 1:
+            sign, chunk, plain, tokens, freqs = rows[0]
+            words = tokens.split(_SEP)
+            if plain and sign > 0 and len(set(words)) == len(words):
+                records.update(words)
+                for w, f in zip(words, freqs.split(" ")):
+                    if f != "1":
+                        more[w] = more.get(w, 0) + int(f) - 1
+                present.append((name, 1))
+                return
+        sides: list[dict[str, int]] = []
         for sign in (1, -1):
-            own = [r for r in rows if r[0] == sign]
-            if len(own) == 1 and len(set(own[0][2])) == len(own[0][2]):
-                pairs = zip(own[0][2], own[0][3])
-            else:
-                pairs = [(t, f) for _, t, f in {(c, t, f) for _, c, ts, fs in own for t, f in zip(ts, fs)}]
             side: dict[str, int] = {}
-            for t, f in pairs:
-                w = spelled.get(t)
-                if w is None:
-                    w = spelled[t] = normal(t)
-                side[w] = side.get(w, 0) + f
+            for _, t, f in {(c, t, f) for s, c, _, ts, fs in rows if s == sign for t, f in zip(ts.split(_SEP), fs.split(" "))}:
+                w = normal(_unescaped(t))
+                side[w] = side.get(w, 0) + int(f)
             sides.append(side)
-        add, drop = sides
-        if add == drop:
+        if sides[0] == sides[1]:
             return
-        for side, sign in ((add, 1), (drop, -1)):
+        for side, sign in zip(sides, (1, -1)):
             if side:
-                present.append((key, sign))
+                present.append((name, sign))
                 for w, f in side.items():
                     if w:
-                        s = sums.get(w)
-                        if s is None:
-                            sums[w] = [sign * f, sign]
-                        else:
-                            s[0] += sign * f
-                            s[1] += sign
+                        records[w] += sign
+                        more[w] = more.get(w, 0) + sign * (f - 1)
 
     def flush():
-        kinds = np.concatenate((np.zeros(len(sums), dtype=np.int32), np.ones(len(present), dtype=np.int32)))
-        keys = [*sums, *(k for k, _ in present)]
-        occ = [*(s[0] for s in sums.values()), *([0] * len(present))]
-        rec = [*(s[1] for s in sums.values()), *(s for _, s in present)]
+        kinds = np.concatenate((np.zeros(len(records), dtype=np.int32), np.ones(len(present), dtype=np.int32)))
+        keys = [*records, *(k for k, _ in present)]
+        rec = [*records.values(), *(s for _, s in present)]
+        occ = [*(n + more.get(w, 0) for w, n in records.items()), *([0] * len(present))]
         out = pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys, pa.string()), pa.array(occ, pa.int64()), pa.array(rec, pa.int64())], ["kind", "key", "occurrences", "records"])
-        sums.clear()
+        records.clear()
+        more.clear()
         present.clear()
         return out
 
     last, rows = None, []
     for b in batches:
-        columns = [b.column(i).to_pylist() for i in range(7)]
-        for project, file, part, sign, chunk, tokens, freqs in zip(*columns):
-            key = (project, file, part)
+        for h1, h2, part, *row in zip(*(b.column(i).to_pylist() for i in range(8))):
+            key = (h1, h2, part)
             if key != last:
                 if rows:
-                    close(xxh3_128_hexdigest(repr(last[:2])), rows)
+                    close(last, rows)
                 last, rows = key, []
-            rows.append((sign, chunk, tokens, freqs))
-        if len(spelled) > HELD:
-            spelled.clear()
-        if len(sums) > HELD or len(present) > HELD:
+            rows.append(row)
+        if len(records) > HELD or len(present) > HELD:
             yield flush()
     if rows:
-        close(xxh3_128_hexdigest(repr(last[:2])), rows)
+        close(last, rows)
     yield flush()
 
 
@@ -170,9 +180,10 @@ def term_deltas(added: DataFrame | None, removed: DataFrame | None = None) -> Da
     packed = None
     for rows, sign in ((added, 1), (removed, -1)):
         if rows is not None:
-            p = rows.select("project", "file", "chunk", "token", "freq").mapInArrow(_pack(sign), _PACKED)
+            record = (F.xxhash64("project", F.isnull("project"), "file"), F.xxhash64(F.lit(1), "file", F.isnull("file"), "project"))
+            p = rows.select(record[0].alias("h1"), record[1].alias("h2"), "chunk", "token", "freq").mapInArrow(_pack(sign), _PACKED)
             packed = p if packed is None else packed.unionByName(p)
-    sorted_runs = packed.repartition("project", "file", "part").sortWithinPartitions("project", "file", "part")
+    sorted_runs = packed.repartition("h1", "h2", "part").sortWithinPartitions("h1", "h2", "part")
     sums = sorted_runs.mapInArrow(_count, _DELTAS).groupBy("kind", "key").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     presence = F.when(F.col("kind") == 1, F.signum("records").cast("bigint")).otherwise(F.col("records"))
     return sums.withColumn("records", presence)
