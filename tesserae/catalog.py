@@ -1,4 +1,5 @@
 """All queries of the engine's own operators, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tesserae.queries import base, languages, tokens, sequences, vocabularies  # noqa: F401
+
+QUERIES, SQL = base.QUERIES, base.SQL
