@@ -20,13 +20,13 @@ SHORT_TOKEN = f"({_rx(M.TWO_SIGNS)}|{_rx(M.ONE_SIGN)}|[^ {''.join(chr(92) + c fo
 
 def words(text: Column) -> Column:
     """Tokens of a rendered line: a final line end is dropped, single spaces divide, so empty tokens are possible."""
-    return F.split(F.regexp_replace(text, r"\n$", ""), " ", -1)
+    return F.split(F.regexp_replace(text, r"\n\z", ""), " ", -1)
 
 
 def lines(text: Column) -> Column:
     """Lines of a file; no empty one after a final line end."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.split(F.regexp_replace(t, r"\n$", ""), "\n", -1)
+    return F.split(F.regexp_replace(t, r"\n\z", ""), "\n", -1)
 
 
 def spaces_to_tabs(text: Column) -> Column:
@@ -71,7 +71,7 @@ def dictionary_word(line: Column) -> Column:
 
 
 def is_number(word: Column) -> Column:
-    return word.rlike(f"^(?:{M.NUMBER})$")
+    return word.rlike(rf"^(?:{M.NUMBER})\z")
 
 
 def number_parts(number: Column) -> Column:
@@ -85,7 +85,7 @@ def number_parts(number: Column) -> Column:
 
 def mask_number(word: Column, frequent: Column) -> Column:
     """Infrequent numbers by kind; ``frequent`` is the array of numbers to keep."""
-    kind = F.when(word.rlike("^[0-9]+$"), "<decnumber>").when(word.rlike("^0x[0-9]+$"), "<hexnumber>").when(word.rlike("^[0-9]+[l|L]$"), "<longnumber>").otherwise(word)
+    kind = F.when(word.rlike(r"^[0-9]+\z"), "<decnumber>").when(word.rlike(r"^0x[0-9]+\z"), "<hexnumber>").when(word.rlike(r"^[0-9]+[l|L]\z"), "<longnumber>").otherwise(word)
     return F.when(F.array_contains(frequent, word), word).otherwise(kind)
 
 
@@ -105,7 +105,7 @@ def split_log_text(pieces: Column) -> Column:
 
 
 def string_resource(text: Column) -> Column:
-    return F.regexp_replace(text, r"^([0-9a-zA-Z]+\.)+[0-9a-zA-Z]+$", M.STRING_RESOURCE)
+    return F.regexp_replace(text, r"^([0-9a-zA-Z]+\.)+[0-9a-zA-Z]+\z", M.STRING_RESOURCE)
 
 
 def without_placeholders(text: Column) -> Column:
@@ -158,7 +158,7 @@ def interleave(tokens: Column, separator: str) -> Column:
 def log_level(method: Column) -> Column:
     level = None
     for name, rx in M.METHODS.items():
-        cond = method.rlike(f"^(?:{rx})$")
+        cond = method.rlike(rf"^(?:{rx})\z")
         level = F.when(cond, name) if level is None else level.when(cond, name)
     return level.otherwise("unknown")
 
