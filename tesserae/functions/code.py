@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import regex
 
@@ -36,7 +37,7 @@ _TWO, _ONE = sorted(M.TWO_SIGNS), [*M.ONE_SIGN, *M.ONE_SIGN_VERBOSE]
 _SPLIT = re.compile("|".join(map(re.escape, [*_TWO, *_ONE])) + r"|[\t\n]|[^ \t\n" + re.escape("".join(_ONE)) + "]+")
 _COMMENT_MARK = re.compile(r"(/\*|\*/)")
 _NUMBER = regex.compile(rf"(?:^|(?<=[^[:lower:][:upper:][:digit:]_])){M.NUMBER}(?![[:lower:][:upper:][:digit:]_.]|$)")
-_WHOLE_NUMBER = re.compile(M.NUMBER)
+_DIGIT = re.compile(r"\d")
 _PARTS = regex.compile(r"_|\d+|[[:upper:]]?[[:lower:]]+|[[:upper:]]+(?![[:lower:]])")
 _LOGGER, _METHOD = re.compile(M.LOGGER), re.compile("|".join(M.METHODS.values()))
 
@@ -74,8 +75,13 @@ def restored(form: str, kind: str) -> str:
     return form.upper() if kind == "all" else form.capitalize() if kind == "first" else form
 
 
+@lru_cache(maxsize=1 << 17)
+def identifier_parts(text: str) -> tuple:
+    return tuple((canonical(p), case_of(p), False) for p in _PARTS.findall(text))
+
+
 def identifier(text: str) -> Token:
-    return Token("ident", text, tuple((canonical(p), case_of(p), False) for p in _PARTS.findall(text)))
+    return Token("ident", text, identifier_parts(text))
 
 
 def split_line(line: str) -> list[Token]:
@@ -83,7 +89,7 @@ def split_line(line: str) -> list[Token]:
     out: list[Token] = []
     at = 0
     pieces: list[tuple[bool, str]] = []
-    for m in _NUMBER.finditer(line):
+    for m in _NUMBER.finditer(line) if _DIGIT.search(line) else ():
         if m.start() > at:
             pieces.append((False, line[at:m.start()]))
         pieces.append((True, m[0]))
@@ -255,7 +261,7 @@ def mark_blocks(tokens: list[Token]) -> bool:
 def mark_language(tokens: list[Token], non_english: frozenset[str] = frozenset()) -> None:
     """Mark the identifier parts that aren't English: outside ASCII, or in the dictionary of foreign words."""
     for t in tokens:
-        if t.kind == "ident" and t.log_role not in ("object", "method"):
+        if t.kind == "ident" and (non_english or not t.text.isascii()) and t.log_role not in ("object", "method"):
             t.parts = tuple((f, c, not f.isascii() or f.lower() in non_english) for f, c, _ in t.parts)
 
 
@@ -392,21 +398,44 @@ def full_words(tokens: list[str]) -> tuple[list[tuple[int, int]], int]:
     return out, n
 
 
+def _joined(pieces: list[str]) -> str:
+    """One word of its pieces: a capital mark holds for the next piece, the mark of all capitals until another mark or a digit."""
+    out, mode = [], None
+    for p in pieces:
+        if p in (M.CAPITAL, M.CAPITALS):
+            mode = p
+        elif mode == M.CAPITALS and not p[:1].isdigit():
+            out.append(p.upper())
+        else:
+            out.append(p.capitalize() if mode == M.CAPITAL else p)
+            mode = None
+    return "".join(out)
+
+
 def beautify(text: str) -> str:
-    """Readable text of a rendered line."""
-    text = re.sub(re.escape(M.CAPITAL) + r" (\S+)", lambda m: m[1].capitalize(), text)
-    stop = "|".join(("[0-9]", *map(re.escape, (M.WORD_END, M.CAPITAL, M.CAPITALS))))
-    text = re.sub(rf"({re.escape(M.WORD_START)} (?:\S+ )*?){re.escape(M.CAPITALS)} ((?:(?!{stop})\S+ ?)+?)(?= (?:{stop})(?: |$))", lambda m: m[1] + m[2].upper(), text)
-    text = re.sub(re.escape(M.CAPITALS) + r" (\S+)", lambda m: m[1].upper(), text)
-    text = text.replace("<eos>", "\n")
+    """Readable text of a rendered line, in one pass over its tokens."""
+    tokens, out, i = text.split(" "), [], 0
+    ends = [k for k, t in enumerate(tokens) if t == M.WORD_END][::-1]
+    while i < len(tokens):
+        while ends and ends[-1] <= i:
+            ends.pop()
+        t = tokens[i]
+        if t == M.WORD_START and ends:
+            out.append(_joined(tokens[i + 1:ends[-1]]))
+            i = ends[-1] + 1
+        elif t in (M.CAPITAL, M.CAPITALS) and i + 1 < len(tokens):
+            out.append(_joined(tokens[i:i + 2]))
+            i += 2
+        else:
+            out.append(t)
+            i += 1
+    text = " ".join(out).replace("<eos>", "\n")
     pads = re.compile(rf"(?:{M.PAD} )*{M.PAD}")
     if first := pads.search(text):
         text = pads.sub(f"{len(first[0].split(' '))}x{M.PAD}", text)
     for mark, shown in sorted(M.READABLE.items(), key=lambda x: -len(x[0])):
         text = text.replace(mark, shown)
-    text = re.sub(rf"{re.escape(M.WORD_START)} ((?:\S+ )*?){re.escape(M.WORD_END)}", lambda m: m[1].replace(" ", ""), text)
-    text = text.replace(f" {M.WORD_END} ", "")
-    for i in range(1, 11):
+    for i in range(10, 0, -1):
         text = text.replace(f"\\t{i}", " " * 4 * i)
     return re.sub(r" ?(\{|\}|;|\*/) ?", lambda m: m[1] + "\n", text.replace(" . ", "."))
 

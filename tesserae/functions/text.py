@@ -126,10 +126,11 @@ def without_signs(tokens: Column) -> Column:
 
 def merge_tabs(tokens: Column) -> Column:
     """Each run of n tabs becomes one token ``\\tn``."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
-    flush = lambda a: F.when(a.n > 0, F.array_append(a.out, F.concat(F.lit("\t"), a.n.cast("string")))).otherwise(a.out)
-    step = lambda a, t: F.when(t == "\t", F.struct(a.out.alias("out"), (a.n + 1).alias("n"))).otherwise(F.struct(F.array_append(flush(a), t).alias("out"), F.lit(0).alias("n")))
-    return F.aggregate(tokens, start, step, flush)
+    # one pass over the joined tokens: growing an array token by token would copy it each time
+    joined = F.concat(F.array_join(tokens, "\u0001"), F.lit("\u0001"))
+    runs = F.regexp_extract_all(joined, F.lit("((?:\t\u0001)+|[^\u0001]*\u0001)"), 1)
+    shown = F.transform(runs, lambda r: F.when(r.startswith("\t\u0001"), F.concat(F.lit("\t"), F.floor(F.length(r) / 2).cast("string"))).otherwise(F.replace(r, F.lit("\u0001"), F.lit(""))))
+    return F.when(F.size(tokens) > 0, shown).otherwise(tokens)
 
 
 def mask_identifiers(tokens: Column, keep: list[str] | None = None) -> Column:
@@ -179,14 +180,19 @@ def pairs(symbols: Column) -> Column:
 
 
 def without_ranges(tokens: Column, ranges: Column) -> Column:
-    """``tokens`` without the positions in ``ranges`` (from, to), to exclusive."""
-    return F.filter(tokens, lambda t, i: ~F.exists(ranges, lambda r: (i >= r["from"]) & (i < r["to"])))
+    """``tokens`` without the positions in ``ranges`` (from, to), to exclusive; ranges don't overlap. What is between
+    them is sliced out, so the ranges are evaluated once and not for each token."""
+    r = F.sort_array(ranges)
+    starts = F.concat(F.array(F.lit(0)), F.transform(r, lambda x: x["to"]))
+    ends = F.concat(F.transform(r, lambda x: x["from"]), F.array(F.size(tokens)))
+    return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(tokens, a + 1, F.greatest(b - a, F.lit(0)))))
 
 
 def ranges_between(tokens: Column, begin: str, end: str) -> Column:
     """(from, to) of each ``begin`` and the first ``end`` behind it; the next search starts after that end."""
     start = F.struct(F.array().cast("array<struct<from:int,to:int>>").alias("out"), F.lit(-1).alias("open"))
-    indexed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    indexed = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.t.isin(begin, end))
+
     def step(a, x):
         opened = F.struct(a.out.alias("out"), x.i.alias("open"))
         closed = F.struct(F.array_append(a.out, F.struct(a.open.alias("from"), x.i.alias("to"))).alias("out"), F.lit(-1).alias("open"))

@@ -19,11 +19,19 @@ def log_ranges(tokens: Column) -> Column:
 
 
 def possible_ranges(tokens: Column) -> Column:
-    """(i+1, i) behind each ``{``, ``}``, ``;`` and log end inside a loggable block; the last token of a block isn't tried."""
-    blocks = F.transform(text.ranges_between(tokens, M.BLOCK, M.BLOCK_END), lambda r: F.struct((r["from"] + 1).alias("from"), (r["to"] - 1).alias("to")))
-    at = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin("{", "}", ";", M.LOG_END), i)), lambda i: i.isNotNull())
-    inside = F.filter(at, lambda i: F.exists(blocks, lambda b: (i >= b["from"]) & (i < b["to"])))
-    return F.transform(inside, lambda i: F.struct((i + 1).alias("from"), i.alias("to")))
+    """(i+1, i) behind each ``{``, ``}``, ``;`` and log end inside a loggable block; the last token of a block isn't
+    tried, and a block that doesn't end has none. One pass: places wait until their block ends."""
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    start = F.struct(none.alias("out"), none.alias("wait"), F.lit(False).alias("open"))
+    indexed = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.t.isin(M.BLOCK, M.BLOCK_END, "{", "}", ";", M.LOG_END))
+
+    def step(a, x):
+        opened = F.struct(a.out.alias("out"), none.alias("wait"), F.lit(True).alias("open"))
+        closed = F.struct(F.concat(a.out, F.filter(a.wait, lambda w: w["to"] < x.i - 1)).alias("out"), none.alias("wait"), F.lit(False).alias("open"))
+        added = F.struct(a.out.alias("out"), F.array_append(a.wait, F.struct((x.i + 1).alias("from"), x.i.alias("to"))).alias("wait"), a.open.alias("open"))
+        return F.when(~a.open & (x.t == M.BLOCK), opened).when(a.open & (x.t == M.BLOCK_END), closed).when(a.open & x.t.isin("{", "}", ";", M.LOG_END), added).otherwise(a)
+
+    return F.aggregate(indexed, start, step, lambda a: a.out)
 
 
 def coverage(rendered: DataFrame, *by: str) -> DataFrame:

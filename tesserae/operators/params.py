@@ -27,7 +27,7 @@ class Variable:
         return math.ceil(math.log(self.end / self.start) / math.log(self.step))
 
     def value(self, i: int) -> float:
-        return self.start + self.step * i if self.kind == "plus" else self.start * self.step**i
+        return float(self.start + self.step * i if self.kind == "plus" else self.start * self.step**i)
 
 
 def counts(variables: list[Variable], total: float) -> dict[str, int]:

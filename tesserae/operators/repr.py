@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,8 +50,15 @@ def parsed(df: DataFrame, key: list[str], non_english: frozenset[str] = frozense
 
 def rendered(df: DataFrame, key: list[str], digits: str, split: SplitConfig | None = None, non_english: frozenset[str] = frozenset()) -> DataFrame:
     """(key..., tokens): the token strings of each file under a six-digit code."""
-    r = Code.parse(digits).rendering(split.pieces if split else None)
-    return _per_text(df, key, lambda: lambda text: code.render(code.parse(text, non_english), r), "array<string>", pa.list_(pa.string()), "tokens")
+    valid = Code.parse(digits)
+    valid.rendering(split.pieces if split else None)
+
+    def make():
+        # words repeat: each task splits a word once
+        r = valid.rendering(lru_cache(maxsize=1 << 17)(split.pieces) if split else None)
+        return lambda text: code.render(code.parse(text, non_english), r)
+
+    return _per_text(df, key, make, "array<string>", pa.list_(pa.string()), "tokens")
 
 
 def readable(df: DataFrame, key: list[str]) -> DataFrame:
