@@ -37,6 +37,9 @@ MARGIN = 0.94
 #: Words and signs of the shortest passage.
 WORDS, CLAUSE = 3, 5
 
+#: Words as which a smaller English or code sample counts when words are compared.
+LEAST_WORDS = 5_000
+
 # Seed text of each language, used beside the labelled documents.
 _SEED = {
     "en": "the of and to in is that it for was on are as with they be at one have this from by not but what all were when we there can an your which their if will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know",
@@ -125,11 +128,12 @@ class Identifier:
         total = {k: sum(c.values()) or 1 for k, c in counts.items()}
         code_words = Counter(w.lower() for t in code for w in _WORD.findall(t))
         english = counts["en"]
-        n_code = sum(code_words.values()) or 1
+        # small tables prove little about English: their absence counts as in a text of some length
+        n_english, n_code = max(total["en"], LEAST_WORDS), max(sum(code_words.values()), LEAST_WORDS)
         self.lexicon: set[str] = set()
         for k in LATIN:
             for w, n in counts[k].items():
-                if len(w) > 1 and n / total[k] > 12 * (english[w] + 0.2) / total["en"] and n / total[k] > 6 * (code_words[w] + 0.2) / n_code:
+                if len(w) > 1 and n / total[k] > 12 * (english[w] + 0.2) / n_english and n / total[k] > 6 * (code_words[w] + 0.2) / n_code:
                     self.lexicon |= {w, fold(w, k)}
         self.lexicon -= {w for w in english if english[w] >= 3 and all(english[w] / total["en"] >= counts[k][w] / total[k] for k in LATIN)}
         self.votes: dict[str, dict[str, float]] = {}

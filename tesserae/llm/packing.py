@@ -1,9 +1,10 @@
 """Filling fixed-capacity containers with items.
 
 Method: hierarchical residual packing. Every partition packs its own items best-fit, largest first, and
-emits the bins that are nearly full; the underfull bins go on as items to fewer partitions, where they are
-packed again, until one small partition is left. A level's rows are the bins of the level before that
-are not full, so the data shrinks fast and no task ever sees all items.
+emits the bins that are nearly full; the residue, the items of underfull bins, goes on to fewer partitions,
+where it is packed again, until one small partition is left or a level closes few bins more (then no
+other items would fill them). A level's rows are the residue of the level before, so the data shrinks
+fast and no task ever sees all items.
 
 Defined results: a text of more tokens than the capacity is cut into pieces of the capacity and a
 rest; all others stay whole. Null and empty texts have 0 tokens and are placed as well. Ties are broken by id.
@@ -28,6 +29,8 @@ CAPACITY = 2048
 NEARLY_FULL = 0.985
 #: Underfull bins a partition of the next level gets; one partition is the last level.
 FAN_IN = 20_000
+#: Share of underfull bins that must be left for another level not to be tried.
+STALLED = 0.9
 #: Bins a task holds open at a time; beyond it the fullest are handed on.
 OPEN_BINS = 200_000
 
@@ -95,15 +98,18 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, name: str = "byte_bpe_5
     """(container, doc_id, part, tokens) for every piece of every document (doc_id, text)."""
     level = stage(documents.select("doc_id", "text").mapInArrow(_first(name, folder, capacity), _BIN), "bins")
     closed, full = [], NEARLY_FULL * capacity
+    last = None
     while True:
         n = level.where(F.col("size") < full).count()
-        if not n:
+        if not n or last is not None and n > STALLED * last:
             closed.append(level)
             break
+        last = n
         closed.append(level.where(F.col("size") >= full))
         parts = -(-n // FAN_IN)
-        opened = level.where(F.col("size") < full)
-        spread = opened.repartition(parts, F.xxhash64("docs", "parts")) if parts > 1 else opened.coalesce(1)
+        piece = level.where(F.col("size") < full).select(F.inline(F.arrays_zip("docs", "parts", "sizes")))
+        residue = piece.select(F.col("sizes").cast("bigint").alias("size"), F.array("docs").alias("docs"), F.array("parts").alias("parts"), F.array("sizes").alias("sizes"))
+        spread = residue.repartition(parts, F.xxhash64("docs", "parts")) if parts > 1 else residue.coalesce(1)
         level = stage(spread.mapInArrow(_again(capacity), _BIN), "bins")
         if parts == 1:
             closed.append(level)
