@@ -44,7 +44,7 @@ _W = rf"[{_U}][{_L}]+(?:['’-][{_U}]?[{_L}]+)*"
 _PART = r"(?:(?:von|van|de|der|den|du|da|di|la|le|al|bin|ter) ){0,2}"
 _CAPS = rf"[{_U}]{{2,}}(?:-[{_U}]{{2,}})?"
 _PERSON = re.compile(
-    rf"(?:{_W}, {_W}(?: [{_U}]\.)?(?![{_L}])|{_W}(?: [{_U}]\.)+ {_PART}{_W}|{_W} {_PART}{_W}|(?:[{_U}]\. ?)+{_PART}{_W}|{_W}, [{_U}]\.|{_CAPS}, {_CAPS}|{_CAPS}(?: [{_U}]\.)* {_CAPS}|(?:[{_U}]\. ?)+{_CAPS})(?![\w])"
+    rf"(?:{_W}, {_W}(?: [{_U}]\.)?(?![{_L}])|{_W}(?: [{_U}]\.)+ {_PART}{_W}|{_W} {_PART}{_W}|(?:[{_U}]\. ?)+{_PART}{_W}|{_W}, [{_U}]\.|{_CAPS}, {_CAPS}|{_CAPS}(?: [{_U}]\.)* {_CAPS}|(?:[{_U}]\. ?)+{_CAPS})(?![{_U}{_L}0-9_])"
 )
 _COPYRIGHT = re.compile(r"\s*(?:\(c\)|©)?\s*\d{4}(?:\s*-\s*\d{4})?,?\s+", re.I)
 _LONE = re.compile(rf"(?m)^[>*\s/#-]*((?:[{_U}]\. )+{_W}|{_CAPS}(?: [{_U}]\.)? {_CAPS}),?\s*(?:\*/)?$")
@@ -61,10 +61,10 @@ _NO_DOMAIN = {"png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "pdf", "js", "c
 
 _PHONE = re.compile(
     r"(?<![\w.+/@:-])(?<!\d )(?:\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(0\) ?)?(?:\(\d{2,4}\)|\d{1,5})(?:(?: / |[ ./-])\d{2,8}){1,5}|\(\d{2,5}\) ?\d{3,8}(?:[-. ]\d{2,6}){0,3}"
-    r"|\d{3}([-.])\d{3}\1\d{4}|0\d{1,4}(?: / |[ /-])\d{2,8}(?:[ -]\d{2,8}){0,4})(?:,? ?(?:ext\.?|x|extension|Durchwahl|poste|App\.) ?\d{1,6})?(?![0-9A-Za-z_/@-])(?!\.\d)"
+    r"|\d{3}([-.])\d{3}\1\d{4}|0\d{1,4}(?: / |[ /-])\d{2,8}(?:[ -]\d{2,8}){0,4})(?:,? ?(?:ext\.?|x|extension|Durchwahl|poste|App\.) ?\d{1,6})?(?!(?:[0-9A-Z_/@-]|[a-z](?![\u0300-\u036f])))(?!\.\d)"
 )
 _ID = re.compile(
-    r"(?<![\w.+/@-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|[A-Z]{2}\d{6}[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]\d[A-Z]\d{6}|[A-Z]{1,2}\d{7,8}|\d{11})(?![0-9A-Za-z_@-])(?!\.\d)"
+    r"(?<![\w.+/@-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|[A-Z]{2}\d{6}[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]\d[A-Z]\d{6}|[A-Z]{1,2}\d{7,8}|\d{11})(?!(?:[0-9A-Z_@-]|[a-z](?![\u0300-\u036f])))(?!\.\d)"
 )
 _ID_LABEL = re.compile(r"(?:passport|national id|\bid\b|\bID\b|identity|social security|\bssn\b|\bSSN\b|PESEL|\bNIN\b|\bDNI\b|\bNIE\b|tax ?id|taxId|Ausweis|Steuer|validate\(|carte d'identité|NIF|licence no)", re.I)
 _NO_NUMBER = re.compile(r"(?:^|(?<!\w))(?:ISBN|ISSN|timestamp|version|[Bb]uild|issue|commit|sha\d*|uuid|MAC|port|listens on|step|#|\bv|Change-Id:?|0x)[ :#=]*$")
@@ -178,7 +178,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             else:
                 if word[-1].isalpha() and text[at:at + 1] not in (" ", ":"):
                     continue
-                while at < len(text) and (text[at] in " :" or word[-1] == "," and text[at] in "\r\n"):
+                while at < len(text) and (text[at] in " :" or word[-1] == "," and text[at] in "\r\n\t*>#/"):
                     at += 1
             m = _PERSON.match(text, at)
             if m and word in ("As", "Dear", "ask", "To:", "user:") and not (_AFTER_NAME.match(text, m.end()) or m[0].split()[0].strip(",") in _GIVEN):
@@ -227,7 +227,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
 
 
 _GIVEN = {*GIVEN_NAMES, *(n.upper() for n in GIVEN_NAMES)}
-_FAMILY = re.compile(rf"(?: [{_U}]\.)* {_PART}{_W}(?!\w)")
+_FAMILY = re.compile(rf"(?: [{_U}]\.)* {_PART}{_W}(?![{_U}{_L}0-9_])")
 _AFTER_NAME = re.compile(r" (?:said|wrote|asked|reported|suggested)|,?\s*\n")
 
 
