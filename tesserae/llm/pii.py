@@ -47,7 +47,7 @@ _PERSON = re.compile(
     rf"(?:{_W}, {_W}(?: [{_U}]\.)?(?![{_L}])|{_W}(?: [{_U}]\.)+ {_PART}{_W}|{_W} {_PART}{_W}|(?:[{_U}]\. ?)+{_PART}{_W}|{_W}, [{_U}]\.|{_CAPS}, {_CAPS}|{_CAPS}(?: [{_U}]\.)* {_CAPS}|(?:[{_U}]\. ?)+{_CAPS})(?![{_U}{_L}0-9_])"
 )
 _COPYRIGHT = re.compile(r"\s*(?:\(c\)|©)?\s*\d{4}(?:\s*-\s*\d{4})?,?\s+", re.I)
-_LONE = re.compile(rf"(?m)^[>*\s/#-]*((?:[{_U}]\. )+{_W}|{_CAPS}(?: [{_U}]\.)? {_CAPS}),?\s*(?:\*/)?$")
+_LONE = re.compile(rf"(?m)^[>* \t/#-]*((?:[{_U}]\. )+{_W}|{_CAPS}(?: [{_U}]\.)? {_CAPS}),?[ \t\r]*(?:\*/)?[ \t\r]*$")
 _NOT_PERSON = re.compile(
     r"\b(?:The|This|That|Our|All|Main|Worker|Thread|Threads|Clock|Road|Map|Sort|Quick|Gate|Adapter|Algorithm|Ocean|Class|Build|Terms|Licence|License|Team|Project|Inc|Ltd|Group|Foundation|Street|Close|Avenue|Server|Client|Manager|Factory|Service)\b"
 )
@@ -104,7 +104,7 @@ def _automaton():
     return a
 
 
-_DIGITS = re.compile(r"\d[\d\W]{6,}\d|\d{8}|[A-Z]\d[A-Z]?\d{6}")
+_DIGITS = re.compile(r"\d[\d\W]{6,60}\d|\d{8}|[A-Z]\d[A-Z]?\d{6}")
 #: Characters around an anchor that an expanded item can span; longer than any item the parsers accept.
 REACH = 160
 
@@ -150,9 +150,10 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                             done_to[kind] = max(done_to[kind], e)
                         break
     for d in _DIGITS.finditer(text):
-        lo, hi = max(0, text.rfind("\n", 0, d.start()) + 1, d.start() - 6), text.find("\n", d.end())
+        lo, end = max(0, d.start() - 6), min(len(text), d.end() + 40)
+        lo, hi = max(lo, text.rfind("\n", lo, d.start()) + 1), text.find("\n", d.end(), end)
         for kind, pattern in (("phone", _PHONE), ("id_number", _ID)):
-            for m in pattern.finditer(text, lo, min(len(text), d.end() + 24) if hi < 0 else min(hi, d.end() + 24)):
+            for m in pattern.finditer(text, lo, end if hi < 0 else hi):
                 if m.start() > d.end():
                     break
                 before = text[max(0, m.start() - 48):m.start()]
@@ -184,7 +185,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             if m and word in ("As", "Dear", "ask", "To:", "user:") and not (_AFTER_NAME.match(text, m.end()) or m[0].split()[0].strip(",") in _GIVEN):
                 m = None
         else:
-            line = text.rfind("\n", 0, s) + 1
+            line = text.rfind("\n", max(0, s - 61), s) + 1
             m = None
             for c in _PERSON.finditer(text, max(line, s - 60), s):
                 if c.end() == s:
