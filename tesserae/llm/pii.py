@@ -4,6 +4,8 @@ Method: anchor expansion. An Aho-Corasick automaton finds at-signs and their dis
 prefixes, labels, street words, given names and the phrases that introduce people; around each hit a
 small deterministic parser expands to the whole item and validates its boundaries. Digit shapes that
 need no label (the anchor would be every digit) are found by one pass of a compiled pattern.
+Names without a cue are told by a bundled list (``names``) and by given and family names that stand behind the
+cues of at least two documents, with at least two partners (``learn``); a cued name counts wherever its document repeats it.
 
 Defined results: null, empty and blank texts hold nothing; a value occurring several times in a
 document is one row; overlapping items are resolved in favour of the earlier, then the longer one.
@@ -18,17 +20,13 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .names import AMBIGUOUS, GIVEN
 
 FOUND = "doc_id bigint, kind string, value string"
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
-# Given names known without a cue around them.
-GIVEN_NAMES = (
-    "Aldo Amara Anouk Bela Birte Bruno Carys Celia Dario Delphine Edda Elio Fenna Fiona Gideon Greta Hanno Ilse Imre Ingrid Jonas Jorun Kasia Katya Lars Leda "
-    "Lennart Linnea Luca Maeve Malik Marta Milo Nadia Nils Noor Odile Olga Orla Oskar Paloma Petra Quentin Rasmus Renata Rhea Rolf Saskia Selma Sofia Stellan "
-    "Tamsin Tariq Tilda Ulla Vera Viktor Wanda Yusuf Zelda Anna Maria Peter Paul John Mary James Robert Michael David Laura Julia Thomas Martin Andreas Stefan "
-    "Marie Pierre Jean Claire Sophie Carlos Jorge Lucia Elena Ana Pedro Giulia Marco Paolo Piotr Agnieszka Ivan Dmitri Sergei Ahmed Fatima Omar Layla Wei Mei"
-).split()
 # Words before a comma that are greetings, not family names.
 _GREETING = {"regards", "thanks", "hi", "hello", "dear", "cheers", "best", "danke", "merci", "gracias", "hallo", "salut", "hola", "bonjour", "obrigado", "grazie", "sincerely", "yours", "greetings", "and", "or"}
 # Phrases that stand before (or after) a person.
@@ -48,9 +46,14 @@ _PERSON = re.compile(
 )
 _COPYRIGHT = re.compile(r"\s*(?:\(c\)|©)?\s*\d{4}(?:\s*-\s*\d{4})?,?\s+", re.I)
 _LONE = re.compile(rf"(?m)^[>* \t/#-]*((?:[{_U}]\. )+{_W}|{_CAPS}(?: [{_U}]\.)? {_CAPS}),?[ \t\r]*(?:\*/)?[ \t\r]*$")
-_NOT_PERSON = re.compile(
-    r"\b(?:The|This|That|Our|All|Main|Worker|Thread|Threads|Clock|Road|Map|Sort|Quick|Gate|Adapter|Algorithm|Ocean|Class|Build|Terms|Licence|License|Team|Project|Inc|Ltd|Group|Foundation|Street|Close|Avenue|Server|Client|Manager|Factory|Service)\b"
-)
+# Words of software, organisations and streets; in a name only beside better evidence, see ``_person``.
+_NOT_GIVEN = set("The This That Our All Main Worker Thread Threads Wall Clock Road Map Sort Quick Gate Adapter Algorithm Ocean Class Build Terms Licence License Team Project Inc Ltd Group Foundation Street Close Avenue Server Client Manager Factory Service".split())
+_STREETS = {"Street", "Road", "Avenue", "Close"}
+_THINGS = _NOT_GIVEN - _STREETS - {"Quick", "Gate", "Ocean", "Sort", "Map", "Clock", "Wall"}
+# Cues that only people follow.
+_STRONG = tuple(c for c in _BEFORE if c.endswith("-by:")) + ("@author", "Author:", "author:", "Reported by", "Reviewed by")
+# Words before a family name that are no given name.
+_TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "monsieur", "madame", "señor", "señora", "signor", "signora", "senhor", "senhora", "ask", "thank", "see", "when", "while", "since", "though", "although", "after", "before", "because", "as", "did", "does", "has", "is", "let", "maybe", "only", "tell", "with", "without", "cc", "todo", "fixme", "copyright", "author", "from", "to", "by"}
 
 _EMAIL = re.compile(
     r"(?<![\w.+@/-])[\w][\w.+'-]*(?:@|＠)[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w@])"
@@ -87,15 +90,35 @@ _STREET_WORDS = (
 )
 
 
-@cache
-def _automaton():
+class Names:
+    """Given and family names known without a cue: the bundled ones and those learnt from documents."""
+
+    def __init__(self, given=(), family=()):
+        self.given = {x for n in {*GIVEN, *given} - AMBIGUOUS for x in (n, n.upper())}
+        self.learnt = {*given}
+        self.family = {*family}
+        self.automaton = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"automaton": None}
+
+    def known(self, name: str) -> bool:
+        return any(w in self.given for w in re.split(r"[ ,]+", name))
+
+    def anchors(self):
+        if self.automaton is None:
+            self.automaton = _automaton(
+                ("email", ("@", "＠", "[at]", "(at)", "{at}", "<at>", "[AT]", "(AT)", " AT ", " at ", "[ät]", "(ät)", "[ at ]")), ("before", _BEFORE), ("after", _AFTER),
+                ("given", {x for n in {*GIVEN, *self.learnt} for x in (n, n.upper())}), ("address", _STREET_WORDS), ("family", {" " + n for n in self.family}),
+            )
+        return self.automaton
+
+
+def _automaton(*groups):
     import ahocorasick
 
     a, kinds = ahocorasick.Automaton(), {}
-    for kind, words in (
-        ("email", ("@", "＠", "[at]", "(at)", "{at}", "<at>", "[AT]", "(AT)", " AT ", " at ", "[ät]", "(ät)", "[ at ]")), ("before", _BEFORE), ("after", _AFTER),
-        ("given", [*GIVEN_NAMES, *(n.upper() for n in GIVEN_NAMES)]), ("address", _STREET_WORDS),
-    ):
+    for kind, words in groups:
         for w in words:
             kinds.setdefault(w, []).append(kind)
     for w, k in kinds.items():
@@ -104,7 +127,41 @@ def _automaton():
     return a
 
 
+@cache
+def _bundled() -> Names:
+    return Names()
+
+
+@cache
+def _strong_cues():
+    return _automaton(("before", _STRONG))
+
+
+def _parts(name: str) -> tuple[str, str]:
+    """(given, family) of a person's name in either order; initials and particles are no part."""
+    family, comma, given = name.partition(",")
+    if comma:
+        return given.split()[0] if given.split() else "", family.split()[-1]
+    words = name.split()
+    return words[0], words[-1]
+
+
+def _person(name: str, names: Names, cue: str = "") -> bool:
+    """Whether a name-shaped text is a person's in spite of words that mostly are no names."""
+    words = {w.title() if w.isupper() else w for w in re.findall(rf"[{_U}{_L}]+", name)} & _NOT_GIVEN
+    if not words:
+        return True
+    given, family = _parts(name)
+    if given in _NOT_GIVEN or given.title() in _NOT_GIVEN:
+        return False
+    if cue in _STRONG or cue and (given in names.given or given in AMBIGUOUS):
+        return not words & _THINGS or given in names.given
+    return given in names.given and not words & (_THINGS | _STREETS)
+
+
 _DIGITS = re.compile(r"\d[\d\W]{6,60}\d|\d{8}|[A-Z]\d[A-Z]?\d{6}")
+#: Documents, and partners, from which a cued given or family name counts without a cue.
+LEARNT = 2
 #: Characters around an anchor that an expanded item can span; longer than any item the parsers accept.
 REACH = 160
 
@@ -121,18 +178,39 @@ def _email_ok(text: str, m) -> bool:
     return True
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
+def _after_cue(text: str, s: int, e: int, word: str):
+    """The match of a person behind the cue ``word`` at (s, e)."""
+    if word[0].isalpha() and s and (text[s - 1].isalnum() or text[s - 1] in "@_-."):
+        return None
+    at = e
+    if word == "Copyright":
+        c = _COPYRIGHT.match(text, at)
+        if not c:
+            return None
+        at = c.end()
+    else:
+        if word[-1].isalpha() and text[at:at + 1] not in (" ", ":"):
+            return None
+        while at < len(text) and (text[at] in " :" or word[-1] == "," and text[at] in "\r\n\t*>#/"):
+            at += 1
+    return _PERSON.match(text, at)
+
+
+def spans(text: str | None, names: Names | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every item in ``text``, in order and without overlaps."""
     if not text or text.isspace():
         return []
     found: set[tuple[int, int, str]] = set()
     done_to = {"email": -1, "address": -1}
-    givens, cues = [], []
-    for end, (word, kinds) in _automaton().iter(text):
+    givens, cues, families, cued = [], [], [], set()
+    names = names or _bundled()
+    for end, (word, kinds) in names.anchors().iter(text):
         start = end - len(word) + 1
         for kind in kinds:
             if kind == "given":
                 givens.append((start, end + 1))
+            elif kind == "family":
+                families.append((start + 1, end + 1))
             elif kind in ("before", "after"):
                 cues.append((kind, start, end + 1, word))
             elif end > done_to[kind]:
@@ -168,21 +246,8 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                 found.add((m.start(), m.end(), kind))
     for kind, s, e, word in cues:
         if kind == "before":
-            if word[0].isalpha() and s and (text[s - 1].isalnum() or text[s - 1] in "@_-."):
-                continue
-            at = e
-            if word == "Copyright":
-                c = _COPYRIGHT.match(text, at)
-                if not c:
-                    continue
-                at = c.end()
-            else:
-                if word[-1].isalpha() and text[at:at + 1] not in (" ", ":"):
-                    continue
-                while at < len(text) and (text[at] in " :" or word[-1] == "," and text[at] in "\r\n\t*>#/"):
-                    at += 1
-            m = _PERSON.match(text, at)
-            if m and word in ("As", "Dear", "ask", "To:", "user:") and not (_AFTER_NAME.match(text, m.end()) or m[0].split()[0].strip(",") in _GIVEN):
+            m = _after_cue(text, s, e, word)
+            if m and word in ("As", "Dear", "ask", "To:", "user:") and not (_AFTER_NAME.match(text, m.end()) or m[0].split()[0].strip(",") in names.given):
                 m = None
         else:
             line = text.rfind("\n", max(0, s - 61), s) + 1
@@ -195,29 +260,42 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                 if c:
                     base = max(line, s - 60)
                     found_at = (base + c.start(), s)
-                    if not _NOT_PERSON.search(c[0]) and not (found_at[0] and text[found_at[0] - 1].isalnum()) and (word != " said" or _known(c[0])):
+                    if _person(c[0], names, word) and not (found_at[0] and text[found_at[0] - 1].isalnum()) and (word != " said" or names.known(c[0])):
                         found.add((*found_at, "person"))
-            elif word != " wrote:" and word[0] == " " and not _known(m[0]) and word in (" said", " reported", " suggested", " asked us"):
+                        cued.add(c[0])
+            elif word != " wrote:" and word[0] == " " and not names.known(m[0]) and word in (" said", " reported", " suggested", " asked us"):
                 if not re.fullmatch(rf"[{_U}]\. {_W}|{_W}, {_W}|{_W} {_W}|{_CAPS} {_CAPS}", m[0]) or word != " asked us":
                     m = None
-        if m and not _NOT_PERSON.search(m[0]):
+        if m and _person(m[0], names, word):
             found.add((m.start(), m.end(), "person"))
+            cued.add(m[0])
     for s, e in givens:
         if s and (text[s - 1].isalnum() or text[s - 1] in "_.@+-") or e < len(text) and (text[e].isalnum() or text[e] in "_@+"):
             continue
         upper = text[s:e].isupper()
+        if text[s:e] not in names.given and not _AMBIGUOUS_NEXT.match(text, e) and not ((f := _FAMILY.match(text, e)) and f[0].split()[-1] in names.family):
+            continue
         back = re.search(rf"({_CAPS if upper else _W}), $", text[max(0, s - 40):s])
-        if back and back[1].lower() not in _GREETING and back[1] not in _GIVEN:
+        if back and back[1].lower() not in _GREETING and back[1] not in names.given:
             b = s - len(back[0])
             if not (b and (text[b - 1].isalnum() or text[b - 1] in "_.@")) and not re.search(rf"(?:^|[^\w.]){_W} $", text[max(0, b - 30):b]):
                 if not re.match(rf" {_CAPS if upper else _W}", text[e:e + 40]):
                     found.add((b, e, "person"))
                     continue
         m = (re.compile(rf"(?: [{_U}]\.)* {_CAPS}(?!\w)") if upper else _FAMILY).match(text, e)
-        if m and not _NOT_PERSON.search(m[0]):
+        if m and _person(text[s:m.end()], names):
             found.add((s, m.end(), "person"))
+    for s, e in families:
+        if e < len(text) and (text[e].isalnum() or text[e] in "_@+"):
+            continue
+        m = _GIVEN_BEFORE.search(text, max(text.rfind("\n", 0, s) + 1, s - 60), s)
+        if m and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_.@+-")) and m[1].lower() not in _no_given() and _person(text[m.start():e], names):
+            found.add((m.start(), e, "person"))
+    for name in cued:
+        for m in re.finditer(rf"(?<![\w.@+-]){re.escape(name)}(?![\w@])", text):
+            found.add((m.start(), m.end(), "person"))
     for m in _LONE.finditer(text):
-        if _known(m[1]) or re.match(rf"[{_U}]\.", m[1]) and re.search(r"(?:Regards|Cheers|Best|Thanks|Grüße|Cordialement|Saludos)[^\n]*\n\s*$", text[max(0, m.start(1) - 60):m.start(1)]):
+        if names.known(m[1]) or re.match(rf"[{_U}]\.", m[1]) and re.search(r"(?:Regards|Cheers|Best|Thanks|Grüße|Cordialement|Saludos)[^\n]*\n\s*$", text[max(0, m.start(1) - 60):m.start(1)]):
             found.add((m.start(1), m.end(1), "person"))
     out, at = [], -1
     for s, e, k in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
@@ -227,44 +305,78 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-_GIVEN = {*GIVEN_NAMES, *(n.upper() for n in GIVEN_NAMES)}
 _FAMILY = re.compile(rf"(?: [{_U}]\.)* {_PART}{_W}(?![{_U}{_L}0-9_])")
 _AFTER_NAME = re.compile(r" (?:said|wrote|asked|reported|suggested)|,?\s*\n")
 
 
-def _known(name: str) -> bool:
-    return any(w in _GIVEN for w in re.split(r"[ ,]+", name))
+_AMBIGUOUS_NEXT = re.compile(rf"(?: [{_U}]\.)+ (?:{_W}|{_CAPS})(?!\w)")
+_GIVEN_BEFORE = re.compile(rf"({_W})(?: [{_U}]\.)* {_PART}$")
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@cache
+def _no_given() -> set[str]:
+    from .foreign import _SEED
+
+    return {w for t in _SEED.values() for w in t.split()} | _TITLES | _GREETING
+
+
+def _cued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = set()
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            rows.update((doc, k, text[s:e]) for s, e, k in spans(text))
+            for end, (word, _) in _strong_cues().iter(text or ""):
+                m = _after_cue(text, end - len(word) + 1, end + 1, word)
+                if m and _person(m[0], _bundled(), word) and not {*re.split("[ ,]+", m[0])} & _NOT_GIVEN:
+                    given, family = ("" if n.isupper() or not re.fullmatch(_W, n) else n for n in _parts(m[0]))
+                    if given and given.lower() not in _no_given():
+                        rows.add((doc, given, family))
+        rows = list(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "given", "family"])
+
+
+def learn(documents: DataFrame) -> Names:
+    """The bundled names and those that stand behind people's cues in ``LEARNT`` documents or more, with as many partners."""
+    cued = documents.select("doc_id", "text").mapInArrow(_cued, "doc_id bigint, given string, family string").where("family <> ''")
+    both = cued.selectExpr("doc_id", "stack(2, 'given', given, family, 'family', family, given) AS (kind, name, partner)")
+    counts = both.groupBy("kind", "name").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("partner").alias("partners"))
+    rows = counts.where((F.col("docs") >= LEARNT) & (F.col("partners") >= LEARNT)).select("kind", "name").collect()
+    return Names(*({r.name for r in rows if r.kind == k} for k in ("given", "family")))
+
+
+def _found(batches: Iterator[pa.RecordBatch], names: Names | None = None) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = set()
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows.update((doc, k, text[s:e]) for s, e, k in spans(text, names))
         rows = list(rows)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "kind", "value"])
 
 
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _redacted(batches: Iterator[pa.RecordBatch], names: Names | None = None) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
         for text in b.column(1).to_pylist():
             at, parts = 0, []
-            for s, e, k in spans(text):
+            for s, e, k in spans(text, names):
                 parts += [text[at:s], PLACEHOLDER[k]]
                 at = e
             texts.append(text if text is None else "".join([*parts, text[at:]]))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
+def _over(documents: DataFrame, run, schema: str) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(learn(documents))
+    return documents.select("doc_id", "text").mapInArrow(lambda batches: run(batches, shared.value), schema)
+
+
 def find(documents: DataFrame) -> DataFrame:
-    """One row (doc_id, kind, value) for each distinct item of each document; no shuffle."""
-    return documents.select("doc_id", "text").mapInArrow(_found, FOUND)
+    """One row (doc_id, kind, value) for each distinct item of each document; only cued names are shuffled."""
+    return _over(documents, _found, FOUND)
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) with each item replaced by its typed placeholder; no shuffle."""
-    return documents.select("doc_id", "text").mapInArrow(_redacted, "doc_id bigint, text string")
+    """(doc_id, text) with each item replaced by its typed placeholder; only cued names are shuffled."""
+    return _over(documents, _redacted, "doc_id bigint, text string")
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:

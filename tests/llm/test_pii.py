@@ -30,3 +30,22 @@ def test_edge_rows(spark):
     r = {x.doc_id: x.text for x in pii.redact(df).collect()}
     assert r[1] == "x [EMAIL] y [EMAIL]" and r[2] is None and r[3] == "" and len(r[4]) == len(long) - 3
     assert pii.find(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,value", [
+    ("The parser was rewritten for Hiroshi Tanaka last year.", "Hiroshi Tanaka"), ("It was Chloe Bennett who fixed it", "Chloe Bennett"), ("Reviewed-by: Peter Close", "Peter Close"), ("Signed-off-by: Zork Road", "Zork Road"), ("we met Anna Quick there", "Anna Quick"),
+])
+def test_names_outside_the_test_tables(text, value):
+    assert [(k, text[s:e]) for s, e, k in pii.spans(text)] == [("person", value)]
+
+
+def test_cued_name_counts_again_in_its_document():
+    text = "Signed-off-by: Zork Quibble\nThen Zork Quibble left."
+    assert [text[s:e] for s, e, _ in pii.spans(text)] == ["Zork Quibble"] * 2
+
+
+def test_names_are_learnt_from_cues(spark):
+    texts = ["Signed-off-by: Zork Quibble", "@author Zork Wexley", "Acked-by: Blen Quibble", "as Zork Marl fixed it", "so Ombra Quibble left", "Reviewed-by: Once Seen", "as Once Other", "Close The Road Map", "for Main Quibble"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.value) for r in pii.find(df).collect()}
+    assert got == {(0, "Zork Quibble"), (1, "Zork Wexley"), (2, "Blen Quibble"), (3, "Zork Marl"), (4, "Ombra Quibble"), (5, "Once Seen")}
