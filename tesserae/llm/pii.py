@@ -55,9 +55,11 @@ _STRONG = tuple(c for c in _BEFORE if c.endswith("-by:")) + ("@author", "Author:
 # Words before a family name that are no given name.
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "monsieur", "madame", "señor", "señora", "signor", "signora", "senhor", "senhora", "ask", "thank", "see", "when", "while", "since", "though", "although", "after", "before", "because", "as", "did", "does", "has", "is", "let", "maybe", "only", "tell", "with", "without", "cc", "todo", "fixme", "copyright", "author", "from", "to", "by"}
 
+# The parsers and the anchors are made of the same alternatives.
+_AT_OPEN, _AT = "[({<", ("at", "AT", "ät")
 _EMAIL = re.compile(
     r"(?<![\w.+@/-])[\w][\w.+'-]*(?:@|＠)[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w@])"
-    r"|(?<![\w.+@/-])[\w][\w.+'-]*\s?(?:[\[({<]\s?(?:at|AT|ät)\s?[\])}>]|(?<=\s)AT(?=\s)|(?<=\s)at(?=\s[\w-]+\s?(?:[\[({<]\s?dot|dot\s)))\s?[\w-]+(?:\s?(?:\.|[\[({<]\s?(?:dot|DOT|punkt)\s?[\])}>]|(?<=\s)(?:DOT|dot)(?=\s))\s?[\w-]+)+(?![\w@])"
+    r"|(?<![\w.+@/-])[\w][\w.+'-]*\s?(?:" + f"[{re.escape(_AT_OPEN)}]" + r"\s?(?:" + "|".join(_AT) + r")\s?[\])}>]|(?<=\s)AT(?=\s)|(?<=\s)at(?=\s[\w-]+\s?(?:[\[({<]\s?dot|dot\s)))\s?[\w-]+(?:\s?(?:\.|[\[({<]\s?(?:dot|DOT|punkt)\s?[\])}>]|(?<=\s)(?:DOT|dot)(?=\s))\s?[\w-]+)+(?![\w@])"
 )
 # Endings of file names and addresses that are no mail domain.
 _NO_DOMAIN = {"png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "pdf", "js", "css", "html", "java", "py", "json", "xml", "localdomain", "local"}
@@ -66,8 +68,9 @@ _PHONE = re.compile(
     r"(?<![\w.+/@:-])(?<!\d )(?:\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(0\) ?)?(?:\(\d{2,4}\)|\d{1,5})(?:(?: / |[ ./-])\d{2,8}){1,5}|\(\d{2,5}\) ?\d{3,8}(?:[-. ]\d{2,6}){0,3}"
     r"|\d{3}([-.])\d{3}\1\d{4}|0\d{1,4}(?: / |[ /-])\d{2,8}(?:[ -]\d{2,8}){0,4})(?:,? ?(?:ext\.?|x|extension|Durchwahl|poste|App\.) ?\d{1,6})?(?!(?:[0-9A-Z_/@-]|[a-z](?![\u0300-\u036f])))(?!\.\d)"
 )
+_ID_FORMS = (r"\d{3}-\d{2}-\d{4}", r"[A-Z]{2} \d{2} \d{2} \d{2} [A-D]", r"[A-Z]{2}\d{6}[A-D]", r"\d{8}-?[A-Z]", r"[XYZ]-?\d{7}-?[A-Z]", r"[A-Z]\d[A-Z]\d{6}", r"[A-Z]{1,2}\d{7,8}", r"\d{11}")
 _ID = re.compile(
-    r"(?<![\w.+/@-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|[A-Z]{2}\d{6}[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]\d[A-Z]\d{6}|[A-Z]{1,2}\d{7,8}|\d{11})(?!(?:[0-9A-Z_@-]|[a-z](?![\u0300-\u036f])))(?!\.\d)"
+    rf"(?<![\w.+/@-])(?:{'|'.join(_ID_FORMS)})" r"(?!(?:[0-9A-Z_@-]|[a-z](?![\u0300-\u036f])))(?!\.\d)"
 )
 _ID_LABEL = re.compile(r"(?:passport|national id|\bid\b|\bID\b|identity|social security|\bssn\b|\bSSN\b|PESEL|\bNIN\b|\bDNI\b|\bNIE\b|tax ?id|taxId|Ausweis|Steuer|validate\(|carte d'identité|NIF|licence no)", re.I)
 _NO_NUMBER = re.compile(r"(?:^|(?<!\w))(?:ISBN|ISSN|timestamp|version|[Bb]uild|issue|commit|sha\d*|uuid|MAC|port|listens on|step|#|\bv|Change-Id:?|0x)[ :#=]*$")
@@ -75,19 +78,26 @@ _NO_NUMBER = re.compile(r"(?:^|(?<!\w))(?:ISBN|ISSN|timestamp|version|[Bb]uild|i
 _POST_UK = r"[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}"
 _TOWN = rf"(?:(?:Bad|Sankt|Saint|St\.|Le|La|Les|Neu|Alt|San|Santa|Los|Las) )?[{_U}][\w{_L}]+(?:-[\w{_L}]+)*"
 _FLAT = r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Floor) \d+[A-Za-z]?, )?"
+_EN_STREETS = ("Street", "Road", "Avenue", "Close", "Lane", "Way", "Terrace", "Drive", "Place", "Court", "Square", "Gardens", "Crescent", "Row", "Hill", "Mews", "Grove", "Boulevard")
+_EN_SHORT = ("Rd", "Ave", "Dr", "Ln", "Blvd")
+_DE_ENDINGS = ("straße", "strasse", "str.", "allee", "weg", "gasse", "platz", "ring", "damm", "ufer", "markt", "graben", "steig")
+_DE_STREETS = ("Straße", "Allee", "Weg", "Platz")
+_DE_HEADS = ("Am", "An der", "An den", "Im", "In der", "Zum", "Zur", "Auf dem", "Auf der", "Unter den", "Hinter der")
+_ROMANCE = ("Calle", "C/", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Ronda", "Travesía", "Carrera", "Rua", "Via", "Viale", "Piazza", "Corso")
+_FR_STREETS = ("rue", "avenue", "boulevard", "impasse", "place", "chemin", "allée", "quai", "cours", "square", "route", "ruelle", "passage")
 _ADDRESS = re.compile(
-    rf"(?<![\w-]){_FLAT}\d{{1,4}}[A-Za-z]? (?:{_W} ){{1,3}}(?:(?:Street|Road|Avenue|Close|Lane|Way|Terrace|Drive|Place|Court|Square|Gardens|Crescent|Row|Hill|Mews|Grove|Boulevard)(?![A-Za-z])|(?:Rd|Ave|Dr|Ln|Blvd)(?![A-Za-z])\.?|St(?![A-Za-z])(?:\.(?=[.,]))?)"
+    rf"(?<![\w-]){_FLAT}\d{{1,4}}[A-Za-z]? (?:{_W} ){{1,3}}(?:(?:{'|'.join(_EN_STREETS)})(?![A-Za-z])|(?:{'|'.join(_EN_SHORT)})(?![A-Za-z])\.?|St(?![A-Za-z])(?:\.(?=[.,]))?)"
     rf"(?:,? (?:Flat|Apt\.?) \d+[A-Za-z]?)?(?:, {_W}(?:[ -]{_W}){{0,2}},? {_POST_UK}|, {_POST_UK}(?: {_TOWN})?)?"
-    rf"|(?<![\w-])(?:{_W}(?:straße|strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer|markt|graben|steig)|{_W} (?:Straße|Allee|Weg|Platz)|(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|Unter den|Hinter der) {_W}) \d{{1,4}} ?(?:[a-zA-Z](?!\w))?(?:, (?:\d{{1,2}}\. (?:Stock|OG|Etage)|Wohnung \d+))?(?:,? (?:D-)?\d{{5}} {_TOWN})?"
-    rf"|(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Travesía|Carrera|Rua|Via|Viale|Piazza|Corso) (?:(?:de las|de los|de la|del|de|da|do|dos|das|della|dei) )?{_W}(?: {_W})*,? \d{{1,4}} ?(?:[a-zA-Z](?!\w))?(?:, \d{{1,2}}\.?[ºª°](?: ?(?:[A-Z](?!\w)|izq\.?|dcha\.?|der\.?))?)?(?:, \d{{5}} {_TOWN})?"
-    rf"|(?<![\w-])\d{{1,4}} ?(?:bis|ter|[A-Za-z](?=[ ,]))?,? (?:rue|avenue|boulevard|impasse|place|chemin|allée|quai|cours|square|route|ruelle|passage) (?:(?:de la|de l'|du|des|de|aux) |de l['’]|d['’]|l['’])?{_W}(?: {_W})?(?:, (?:appt?\.?|étage|bât\.?) ?\w+)?(?:, \d{{5}} {_TOWN})?"
-)
-_STREET_WORDS = (
-    "Street", "Road", "Rd", "Avenue", "Ave", "Close", "Lane", "Way", "Terrace", "Drive", "Place", "Court", "Square", "Gardens", "Crescent", "Row", "Hill", "Mews", "Grove", "St", "straße", "strasse", "str.",
-    "allee", "weg", "gasse", "platz", "ring", "damm", "ufer", "markt", "graben", "steig", "Straße", "Allee", "Am ", "An der ", "An den ", "Im ", "In der ", "Zum ", "Zur ", "Auf de", "Unter den ", "Hinter der ", "Calle", "C/",
-    "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Ronda", "Travesía", "Carrera", "Rua ", "Via ", "Viale", "Piazza", "Corso", "rue ", "avenue ", "boulevard ", "impasse ", "place ", "chemin ", "allée ", "quai ", "cours ",
-    "square ", "route ", "ruelle ", "passage ",
+    rf"|(?<![\w-])(?:{_W}(?:{'|'.join(map(re.escape, _DE_ENDINGS))})|{_W} (?:{'|'.join(_DE_STREETS)})|(?:{'|'.join(_DE_HEADS)}) {_W}) \d{{1,4}} ?(?:[a-zA-Z](?!\w))?(?:, (?:\d{{1,2}}\. (?:Stock|OG|Etage)|Wohnung \d+))?(?:,? (?:D-)?\d{{5}} {_TOWN})?"
+    rf"|(?<![\w-])(?:{'|'.join(w + (chr(92) + '.?') * (w == 'Avda') for w in _ROMANCE)}) (?:(?:de las|de los|de la|del|de|da|do|dos|das|della|dei) )?{_W}(?: {_W})*,? \d{{1,4}} ?(?:[a-zA-Z](?!\w))?(?:, \d{{1,2}}\.?[ºª°](?: ?(?:[A-Z](?!\w)|izq\.?|dcha\.?|der\.?))?)?(?:, \d{{5}} {_TOWN})?"
+    rf"|(?<![\w-])\d{{1,4}} ?(?:bis|ter|[A-Za-z](?=[ ,]))?,? (?:{'|'.join(_FR_STREETS)}) (?:(?:de la|de l'|du|des|de|aux) |de l['’]|d['’]|l['’])?{_W}(?: {_W})?(?:, (?:appt?\.?|étage|bât\.?) ?\w+)?(?:, \d{{5}} {_TOWN})?"
 )
+_STREET_WORDS = {
+    *(" " + w for w in (*_EN_STREETS, *_EN_SHORT, "St", *_DE_STREETS)), *_DE_ENDINGS, *(w + " " for w in (*_DE_HEADS, *_FR_STREETS)), *(w if w == "Avda" else w + " " for w in _ROMANCE),
+}
+# \s of the parser also takes tabs and fixed spaces.
+_BLANKS = (" ", "\t", "\xa0")
+_AT_SIGNS = {"@", "＠", *(o + b + w for o in _AT_OPEN for b in ("", *_BLANKS) for w in _AT), *(a + w + b for a in _BLANKS for w in ("AT", "at") for b in _BLANKS)}
 
 
 class Names:
@@ -108,7 +118,7 @@ class Names:
     def anchors(self):
         if self.automaton is None:
             self.automaton = _automaton(
-                ("email", ("@", "＠", "[at]", "(at)", "{at}", "<at>", "[AT]", "(AT)", " AT ", " at ", "[ät]", "(ät)", "[ at ]")), ("before", _BEFORE), ("after", _AFTER),
+                ("email", _AT_SIGNS), ("before", _BEFORE), ("after", _AFTER),
                 ("given", {x for n in {*GIVEN, *self.learnt} for x in (n, n.upper())}), ("address", _STREET_WORDS), ("family", {" " + n for n in self.family}),
             )
         return self.automaton
@@ -159,7 +169,7 @@ def _person(name: str, names: Names, cue: str = "") -> bool:
     return given in names.given and not words & (_THINGS | _STREETS)
 
 
-_DIGITS = re.compile(r"\d[\d\W]{6,60}\d|\d{8}|[A-Z]\d[A-Z]?\d{6}")
+_DIGITS = re.compile("|".join((r"\d[\d\W]{6,60}\d", *_ID_FORMS)))
 #: Documents, and partners, from which a cued given or family name counts without a cue.
 LEARNT = 2
 #: Characters around an anchor that an expanded item can span; longer than any item the parsers accept.

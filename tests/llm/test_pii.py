@@ -49,3 +49,16 @@ def test_names_are_learnt_from_cues(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {(r.doc_id, r.value) for r in pii.find(df).collect()}
     assert got == {(0, "Zork Quibble"), (1, "Zork Wexley"), (2, "Blen Quibble"), (3, "Zork Marl"), (4, "Ombra Quibble"), (5, "Once Seen")}
+
+
+ALONE = [
+    *((v, "id_number") for v in ("919-78-5901", "EX 98 55 97 B", "AB123456C", "60288148-J", "60288148J", "X-1234567-L", "X1234567L", "Y1234567-L", "Z-1234567L", "K2R299314", "C12345678", "AB1234567")),
+    *((f"12 Sunset {w}", "address") for w in (*pii._EN_STREETS, *pii._EN_SHORT, "St")), *((f"Berliner {w} 3", "address") for w in pii._DE_STREETS), *((f"Lind{w} 3", "address") for w in pii._DE_ENDINGS), *((f"{w} Mühlteich 4", "address") for w in pii._DE_HEADS),
+    *((f"{w} Molino 23", "address") for w in pii._ROMANCE), *((f"11 {w} Vieux", "address") for w in pii._FR_STREETS),
+    *((f"pat {o}{b}{w}{b}{c} mail.test", "email") for o, c in ("[]", "()", "{}", "<>") for w in pii._AT for b in ("", " ", "\t")), ("pat AT mail DOT test", "email"), ("pat at mail dot test", "email"), ("pat\tAT\tmail DOT test", "email"), ("pat@mail.test", "email"), ("pat＠mail.test", "email"),
+]
+
+
+@pytest.mark.parametrize("value,kind", ALONE)
+def test_each_form_alone(value, kind):
+    assert [(k, s, e) for s, e, k in pii.spans(f"x: {value}\n")] == [(kind, 3, 3 + len(value))]
