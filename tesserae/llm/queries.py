@@ -7,7 +7,7 @@ from . import encode, foreign, handwritten, overlap, packing, pii, splits, synta
 QUERIES = {
     f.__name__: f
     for f in (
-        splits.p1_found, splits.p1_splits, splits.p1_balance, foreign.p2_found, foreign.p2_shares, handwritten.p3_found, handwritten.p3_handwritten, terms.p4_found, terms.p4_terms, syntax.p5_found, syntax.p5_errors,
+        splits.p1_found, splits.p1_splits, splits.p1_balance, foreign.p2_found, foreign.p2_shares, handwritten.p3_found, handwritten.p3_handwritten, terms.p4_found, terms.p4_terms, terms.p4_updated, syntax.p5_found, syntax.p5_errors,
         syntax.p5_rates, overlap.p6_found, overlap.p6_counts, encode.p7_ids, packing.p8_containers, packing.p8_fill, pii.p9_found, pii.p9_redacted,
     )
 }
@@ -22,6 +22,7 @@ SELECT token, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN recor
 
 SQL = {
     "p4_terms": _TERMS,
+    "p4_updated": _TERMS,
     "p4_found": f"SELECT token, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p1_found": r"""
 WITH RECURSIVE a AS (SELECT project, regexp_extract(lower(author), '([^\s<>()\[\]",;:]+@[^\s<>()\[\]",;:]+)', 1) AS mail FROM project_authors),

@@ -4,6 +4,8 @@ Records are the (project, file) with a non-null token. Added, changed and delete
 signed changes of each term's occurrences and record count; unchanged records cancel before anything is
 counted. The changes are summed and merged into a persistent table that is partitioned by term hash, so
 an update rewrites sums, never recounts the collection. The first load is the delta from nothing.
+A record's row has a bit for each hash part that holds terms of it; a part that appears or goes adds or takes its
+own bit, so the sum is exact whichever parts a delta names, and the record counts while a bit is left.
 
 Path of a load: runs of rows of one record are packed into lists where they are read (one row a run and
 part instead of one a token), lists are brought together by record and part (``PARTS`` hash parts of a record's
@@ -17,6 +19,7 @@ term; null frequencies count as 0; exact repeats of a row count once; null proje
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.plans.staging import stage
+from tesserae.plans.staging import shared_dir, stage
 
 #: A term in fewer records is rare; in more than this share of all records common.
 RARE, COMMON = 3, 0.40
@@ -34,6 +37,8 @@ PARTS = 4
 HELD = 200_000
 #: Partitions of the persistent table.
 BUCKETS = 64
+#: One in so many records is new, shorter, longer or gone in the update of ``p4_updated``.
+CHANGED = 64
 
 #: Signs between packed tokens and for a sign itself; see ``_escaped``.
 _SEP, _ESC = "\x1f", "\x1e"
@@ -126,7 +131,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w, f in zip(words, freqs.split(" ")):
                     if f != "1":
                         more[w] = more.get(w, 0) + int(f) - 1
-                present.append((name, 1))
+                present.append((name, 1 << key[2]))
                 return
         sides: list[dict[str, int]] = []
         for sign in (1, -1):
@@ -139,7 +144,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         for side, sign in zip(sides, (1, -1)):
             if side:
-                present.append((name, sign))
+                present.append((name, sign << key[2]))
                 for w, f in side.items():
                     if w:
                         records[w] += sign
@@ -173,7 +178,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_deltas(added: DataFrame | None, removed: DataFrame | None = None) -> DataFrame:
-    """Signed sums (kind, key, occurrences, records): kind 0 of terms, kind 1 of record presence.
+    """Signed sums (kind, key, occurrences, records): kind 0 of terms, kind 1 of the parts that hold terms of a record (``records`` are bits).
 
     ``added`` and ``removed`` hold the rows (project, file, chunk, token, freq) of the new and old state of
     the records that may have changed."""
@@ -184,9 +189,7 @@ def term_deltas(added: DataFrame | None, removed: DataFrame | None = None) -> Da
             p = rows.select(record[0].alias("h1"), record[1].alias("h2"), "chunk", "token", "freq").mapInArrow(_pack(sign), _PACKED)
             packed = p if packed is None else packed.unionByName(p)
     sorted_runs = packed.repartition("h1", "h2", "part").sortWithinPartitions("h1", "h2", "part")
-    sums = sorted_runs.mapInArrow(_count, _DELTAS).groupBy("kind", "key").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    presence = F.when(F.col("kind") == 1, F.signum("records").cast("bigint")).otherwise(F.col("records"))
-    return sums.withColumn("records", presence)
+    return sorted_runs.mapInArrow(_count, _DELTAS).groupBy("kind", "key").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def merge(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
@@ -216,3 +219,22 @@ def p4_terms(spark, sf_dir: str) -> DataFrame:
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where("mark is not null").select("token", "mark")
+
+
+def before_update(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(old, added, removed): an earlier state of ``rows`` and the two sides of the records that differ. Of each
+    ``CHANGED`` records, one isn't there yet, one has only a part of its terms, one has more terms, and one has a twin that goes."""
+    at = F.pmod(F.xxhash64("project", "file"), F.lit(CHANGED))
+    shorter = (at == 1) & (F.pmod(F.xxhash64("token"), F.lit(3)) == 0)
+    longer, twin = F.concat("token", F.lit("_old")), F.concat(F.coalesce("file", F.lit("")), F.lit(".old"))
+    few = rows.where(at.isin(2, 3)).withColumns({"token": F.when(at == 2, longer).otherwise(F.col("token")), "file": F.when(at == 3, twin).otherwise(F.col("file"))})
+    return rows.where((at >= 2) | shorter).unionByName(few), rows.where(at < 3), rows.where((at == 2) | shorter).unionByName(few)
+
+
+def p4_updated(spark, sf_dir: str) -> DataFrame:
+    """The terms after an earlier state of the table was saved, read again and brought up to date by the delta of its changed records."""
+    rows = spark.read.parquet(f"{sf_dir}/partial_vocab.parquet").select("chunk", "project", "file", "token", "freq")
+    old, added, removed = before_update(rows)
+    path = f"{shared_dir(spark).rstrip('/')}/term_state-{uuid.uuid4().hex}"
+    save(merge(None, term_deltas(old)), path)
+    return marked(stage(merge(spark.read.parquet(path), term_deltas(added, removed)), "terms"))

@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tesserae.llm import encode, foreign, handwritten, overlap, packing, splits, terms
@@ -144,6 +145,50 @@ def test_terms_against_brute_force(spark):
     assert terms.merge(None, terms.term_deltas(a.limit(0))).count() == 0
 
 
+def records(state):
+    return state.where("kind = 1").count()
+
+
+def test_records_after_updates_of_some_parts(spark):
+    schema = "chunk int, project string, file string, token string, freq bigint"
+    of = lambda file, words: [(1, "p", file, w, 1) for w in words]
+    words = [f"w{i}" for i in range(40)]
+    by = collections.defaultdict(list)
+    for w in words:
+        by[xxhash.xxh32_intdigest(w) % terms.PARTS].append(w)
+    assert len(by) == terms.PARTS
+    full, less = of("a", words), of("a", [w for k in by if k for w in by[k]])
+    df = lambda x: spark.createDataFrame(x, schema)
+    state = terms.merge(None, terms.term_deltas(df(full + of("b", by[0]))))
+    assert records(state) == 2
+    state = terms.merge(state, terms.term_deltas(df(less), df(full)))  # a part of a loses all its terms
+    assert records(state) == 2
+    state = terms.merge(state, terms.term_deltas(df(of("b", words)), df(of("b", by[0]))))  # b gains parts
+    assert records(state) == 2
+    state = terms.merge(state, terms.term_deltas(df([]), df(of("b", words))))
+    assert records(state) == 1
+    assert terms.merge(state, terms.term_deltas(df([]), df(less))).count() == 0
+
+
+def test_update_of_a_saved_state(spark, tmp_path):
+    schema = "chunk int, project string, file string, token string, freq bigint"
+    old, new = vocab_rows(3), [x for x in vocab_rows(4) if x[2] not in ("f1", "f2")]
+    old = [x for x in old if x[2] != "f3"]
+    a, b = (spark.createDataFrame(x, schema) for x in (old, new))
+    terms.save(terms.merge(None, terms.term_deltas(a)), f"{tmp_path}/s")
+    after = terms.merge(spark.read.parquet(f"{tmp_path}/s"), terms.term_deltas(b, a))
+    want, total = brute(new)
+    assert {(r.key, r.occurrences, r.records) for r in after.where("kind = 0").collect()} == want and records(after) == total
+
+
+def test_updated_terms_equal_a_full_count(spark):
+    rows = spark.read.parquet(f"{SMALL}/partial_vocab.parquet")
+    old, _, removed = terms.before_update(rows.select("chunk", "project", "file", "token", "freq"))
+    assert removed.count() and old.exceptAll(rows.select(old.columns)).count()
+    assert sorted(map(str, QUERIES["p4_updated"](spark, SMALL).collect())) == sorted(map(str, QUERIES["p4_terms"](spark, SMALL).collect()))
+
+
+
 # overlap
 
 def test_pairs_against_brute_force(spark):
