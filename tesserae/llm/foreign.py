@@ -11,7 +11,8 @@ Written forms: plain, ``\\u`` escapes, character references, UTF-8 read as a one
 letters without their marks (``ue`` for u-umlaut).
 
 Defined results: null and empty texts have no passages; a lone foreign word, fewer than three words
-or fewer than ``CLAUSE`` Han or kana signs are no passage; repeated rows count once.
+or fewer than ``SHORT`` Han or kana signs are no passage, nor are fewer than ``CLAUSE`` unless their words or particles make
+them a clause (a name isn't); Cyrillic words of one letter count beside two longer ones; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ DICTIONARY_BYTES = 60_000
 MARGIN = 0.94
 #: Words and signs of the shortest passage.
 WORDS, CLAUSE = 3, 5
+#: Signs in a row of the shortest passage that must be told from a name, and characters of the shortest ASCII span that is read.
+SHORT, SPAN = 3, 8
 
 #: Words as which a smaller English or code sample counts when words are compared.
 LEAST_WORDS = 5_000
@@ -63,8 +66,17 @@ _MOJIBAKE = re.compile("[ÃÂÄÅÐÑãäåæçè][\x80-\xbf€‚ƒ„…†‡
 _LINE_LEAD = re.compile(r"(?m)^[ \t]*(?:\*+(?!/)|//+|#+)?[ \t]?")
 _CUT = re.compile(r"(?<=[.!?:;])\s+|[。！？；]|\n[ \t]*\n|\n(?=[ \t]*@)|\\n|@(?:param|return|throws|see|author|since|deprecated)\b")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_CYRILLIC, _KANA, _HAN = re.compile("[Ѐ-ӿ]{2,}"), re.compile("[぀-ヿｦ-ﾟ]"), re.compile("[㐀-鿿豈-﫿]")
+_CYRILLIC, _KANA, _HAN = re.compile("[Ѐ-ӿ]+"), re.compile("[぀-ヿｦ-ﾟ]"), re.compile("[㐀-鿿豈-﫿]")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ々ー]")
+_CJK_RUN = re.compile("[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ々ー]{%d,}" % SHORT)
+# Words that make a few signs a clause, particles and endings of Japanese, signs only Japanese has, family names of Chinese.
+_PREDICATE = re.compile(
+    "[不无無没沒未已请請了吗嗎吧被把]|失败|失敗|成功|错误|錯誤|异常|異常|超时|超時|完成|完毕|完了|开始|開始|结束|結束|終了|取消|中止|删除|刪除|削除|保存|更新|添加|新增|修改|変更|加载|加載|连接|連接|接続|登录|登錄|登録|注册|註冊|输入|輸入|输出|輸出|入力|出力|查询|查詢|查找|获取|獲取|取得|设置|設置|設定|返回"
+    "|读取|讀取|写入|寫入|打开|打開|关闭|關閉|启动|啟動|起動|停止|检查|檢查|確認|确认|创建|創建|作成|处理|處理|処理|发送|發送|送信|受信|接收|提交|上传|上傳|下载|下載|解析|验证|驗證|检验|選択|选择|執行|执行|実行|调用|調用|转换|轉換|计算|計算|判断|忽略|跳过|等待|重试|退出|存在|支持|需要|必须|必須"
+)
+_PARTICLE = re.compile("です|ます|ません|ください|できない|[ァ-ヺ㐀-鿿ー](?:した|して|する|され|ない)|[ぁ-ゖ]ない$|[㐀-鿿][ぁ-ゖ]{0,2}(?:れる|った)|[ァ-ヺ㐀-鿿ー][をがはにへで](?:[ぁ-ゖァ-ヺ㐀-鿿]|$)")
+_JAPANESE = set("続込読図対応発実変単戻検択権済帰気駅働円広売価験残様毎処録")
+_FAMILY_NAMES = set("王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何林罗羅高郑鄭梁谢謝宋唐许許邓鄧冯馮韩韓曹曾彭萧蕭蔡潘田董袁于余叶葉蒋蔣杜苏蘇魏程吕呂丁沈任姚卢盧傅钟鐘姜崔谭譚廖范汪陆陸金石戴贾賈韦韋夏邱方侯邹鄒熊孟秦白江阎閻薛尹段雷黎史龙龍陶贺賀顾顧毛郝龚龔邵万萬钱錢严嚴")
 _GERMAN = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "Ä": "Ae", "Ö": "Oe", "Ü": "Ue"})
 _POLISH = str.maketrans("łŁ", "lL")
 _QUICK = re.compile(r"[^\x00-\x7f]|\\u[0-9a-fA-F]{4}|&[a-zA-Z#]\w*;")
@@ -115,7 +127,7 @@ def spans_of(text: str, ext: str) -> Iterator[str]:
     for m in _EXT_RX["c" if ext in ("java", "js") else ext if ext in _EXT_RX else "c"].finditer(text):
         kind = m.lastgroup
         s = m[kind] if kind else ""
-        if s and len(s) >= 8:
+        if s and (len(s) >= SPAN or not s.isascii()):
             yield _LINE_LEAD.sub("", s) if kind in ("b", "l", "t") else s
 
 
@@ -183,7 +195,7 @@ class Identifier:
                 continue
             shown = decode(span) if special else span
             for piece in _CUT.split(shown):
-                if piece and len(piece) >= 4:
+                if piece and (len(piece) >= 4 or not piece.isascii()):
                     lang = self.piece(piece)
                     if lang:
                         yield lang, piece.strip()
@@ -197,7 +209,11 @@ class Identifier:
                     return "ja"
                 if len(_HAN.findall(piece)) >= CLAUSE:
                     return "zh"
-            if len(_CYRILLIC.findall(piece)) >= WORDS:
+            for run in _CJK_RUN.findall(piece) if len(cjk) >= SHORT else ():
+                if lang := self._clause(run):
+                    return lang
+            cyrillic = _CYRILLIC.findall(piece)
+            if len(cyrillic) >= WORDS and sum(len(w) > 1 for w in cyrillic) >= WORDS - 1:
                 return "ru"
         words = _WORD.findall(piece)
         if len(words) < WORDS:
@@ -213,6 +229,15 @@ class Identifier:
         passage = piece if b - a + 1 >= 0.7 * len(words) else " ".join(words[max(0, a):b + 1])
         return self.latin(passage)
 
+    @staticmethod
+    def _clause(run: str) -> str | None:
+        """Language of a few Han or kana signs that are a clause; None for a name or a lone noun."""
+        if _KANA.search(run):
+            return "ja" if _PARTICLE.search(run) or _HAN.search(run) and _PREDICATE.search(run) else None
+        if not _PREDICATE.search(run) or len(run) <= SHORT and run[0] in _FAMILY_NAMES:
+            return None
+        return "ja" if _JAPANESE & set(run) else "zh"
+
     @staticmethod
     def _run(at: list[int]) -> tuple[int, int] | None:
         """The longest stretch between marked words in which at most two unmarked ones stand in a row."""

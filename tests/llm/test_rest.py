@@ -82,6 +82,14 @@ def test_languages(ident, comment, langs):
     assert {k for k, _ in ident.passages(comment, "java")} == langs
 
 
+@pytest.mark.parametrize("text,langs", [
+    ('s = "用户名不能为空";', {"zh"}), ("// 检查输入参数", {"zh"}), ('s = "连接失败";', {"zh"}), ("//未找到", {"zh"}), ('s = "ошибка в файле";', {"ru"}), ('s = "接続失敗";', {"ja"}), ('s = "失敗した";', {"ja"}), ('s = "値がない";', {"ja"}),
+    ('s = "张伟";', set()), ('s = "王小明";', set()), ("// 张成功", set()), ('s = "欧阳修文";', set()), ('s = "山田太郎";', set()), ('s = "さくら";', set()), ('s = "数据库";', set()), ("// Author: 王小明", set()), ('s = "やました";', set()), ('s = "井の頭";', set()), ("// а б в", set()), ("// Иван в", set()),
+])
+def test_short_passages(ident, text, langs):
+    assert {k for k, _ in ident.passages(text, "java")} == langs
+
+
 def test_shares_edge_rows(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, kind string")
     rows = [("p", "a.java", "// Это сообщение не будет отправлено"), ("p", "a.java", "// Это сообщение не будет отправлено"), ("p", "b.java", None), ("p", "c.java", ""), (None, "d.py", "# 这个文件没有找到"), ("p", "e.java", "// ok " * 100_000)]
