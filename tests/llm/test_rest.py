@@ -114,6 +114,23 @@ def test_kinds(file, text, kind):
     assert handwritten.kind_of(file, text, models, VENDORS) == kind
 
 
+MANGLED_JS = "".join(f"function a{i}(b,c){{return b.d(c,{i})}}for(var e=0;e<f.length;e++)g[e]=h(e);" for i in range(8))
+MANGLED_JAVA = "class a {\n" + "".join(f"  int b{i}(c d, e f) {{\n    return g.h(d, {i}) + q.w(f);\n  }}\n" for i in "xyz") + "  void j(k l) {\n    for (m n : l.o) {\n      n.p(l);\n    }\n    if (l.z == q) {\n      throw new v(u);\n    }\n  }\n}\n"
+MANGLED_PY = "".join(f"def q{i}(z, x):\n    for w in z.k:\n        x.v(w)\n    while z.j:\n        x += z.u(x)\n        print(z, x[w])\n    return z.q(x, w)\n" for i in "ab")
+MIXED = ["}", "]", "(", ")", ":", ";", "!", "?", "%", "&", "*", "+", "/", "<", ">", "=", "~", "^", "#"]
+
+
+@pytest.mark.parametrize("file,text,kind", [
+    ("w.js", "\n".join(MANGLED_JS[i:i + 100] for i in range(0, len(MANGLED_JS), 100)), "minified"), ("s.js", MANGLED_JS[:160], "minified"), ("M.java", MANGLED_JAVA, "minified"), ("m.py", MANGLED_PY, "minified"),
+    ("T.java", "class A {\n" + "".join(f'  String text{i}() {{ return "{c}"; }}\n' for i, c in enumerate(MIXED)) + "}\n", "generated"), ("own.js", JS, None),
+])
+def test_mangled_names_and_templates(file, text, kind):
+    java = "class Invoice {\n  int total;\n  void addItem(Item item) {\n    total = total + item.price();\n    listeners.notifyChanged(this, total);\n  }\n}\n"
+    py = "def read_lines(path, encoding):\n    with open(path, encoding=encoding) as stream:\n        for line in stream:\n            yield line.strip()\n"
+    models = handwritten.train([("js", JS * 3), ("java", java * 3), ("py", py * 3)] * 3)
+    assert handwritten.kind_of(file, text, models, VENDORS) == kind
+
+
 def test_kinds_edge_rows(spark):
     df = spark.createDataFrame([("p", "A.java", "// @generated by X\n"), ("p", "A.java", "// @generated by X\n"), ("p", "b", None), (None, "c.java", ""), (None, None, "x")], "project string, file string, text string").withColumn("kind", F.lit(1))
     v = spark.createDataFrame([(None, None, None)], "name string, url string, package string")
