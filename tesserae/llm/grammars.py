@@ -1,7 +1,8 @@
 """Bundled grammars for grammar_engine: Java 17, JavaScript (script), Python 3, XML 1.0, JSON.
 
 They accept every valid file of the language; where LL(1) needs it they are a little wider than the
-language (an assignment target may be any expression). The lexers in ``lexers.py`` tell apart
+language (an assignment target may be any expression, a Java statement any that starts with a name, ``(``, ``this`` or ``new``;
+fields of f-strings aren't parsed). The lexers in ``lexers.py`` tell apart
 generic brackets, casts, lambda heads, regular expressions, layout and soft keywords.
 """
 
@@ -45,11 +46,13 @@ block: '{{' statement* '}}'
 statement: block | ';' | 'if' paren statement ['else' statement] | 'while' paren statement
   | 'do' statement 'while' paren ';' | 'for' '(' forhead ')' statement | 'return' [expr] ';'
   | 'break' [ID] ';' | 'continue' [ID] ';' | 'throw' expr ';' | 'assert' expr [':' expr] ';'
-  | 'synchronized' paren block | 'try' [resources] block ('catch' ('(' | 'L(') modifier* type ('|' type)* ID ')' block)* ['finally' block]
+  | 'synchronized' paren block | 'try' ( resources block catch* ['finally' block] | block (catch+ ['finally' block] | 'finally' block) )
   | switch | 'yield' expr ';' | local_modifier+ ( typedecl | type decls ';' ) | typedecl | simple
+catch: 'catch' ('(' | 'L(') modifier* type ('|' type)* ID ')' block
 local_modifier: 'final' | 'abstract' | 'static' | 'strictfp' | annotation
 switch: 'switch' paren '{{' (label+ (statement)*)* '}}' [exprtail ';']
-label: 'case' casepart (',' casepart)* (':' | '->' ) | 'default' (':' | '->')
+label: 'case' casepart (',' casepart)* (':' | '->' [arm]) | 'default' (':' | '->' [arm])
+arm: (NUM | STR | CHAR | 'true' | 'false' | 'null') ({_POST} | '[' expr ']')* {_MORE} ';' | ('+'|'-'|'!'|'~') operand {_MORE} ';'
 casepart: operand ( ({_BIN}|{_GT}) operand | '?' operand ':' operand )* [ID] | 'default'
 paren: '(' expr ')'
 exprtail: ({_POST} | '[' expr ']')+ {_MORE}
@@ -65,12 +68,13 @@ decls: ID ('[' ']')* ['=' init] (',' ID ('[' ']')* ['=' init])*
 simple: ID ( ':' statement | [targs] ('.' ID [targs])* ( decls ';' | '[' ( ']' ('[' ']')* (decls | '::' 'new' | '.' 'class' {_MORE}) | expr ']' ({_POST}|'[' expr ']')* {_MORE} ) ';'
   | ({_POST}) ({_POST}|'[' expr ']')* {_MORE} ';' | {_MORE.replace(')*', ')+')} ';' | '->' (block | expr) ';' ) )
   | prim ( ('[' ']')* decls ';' | '.' 'class' ({_POST})* ';' ) | nonname ';'
-nonname: ('+'|'-'|'!'|'~'|'++'|'--') operand {_MORE} | nonnameprimary ({_POST}|'[' expr ']')* {_MORE} | 'C(' type ('&' type)* ')' operand {_MORE}
+nonname: ('++'|'--') operand | STR ({_POST}) ({_POST}|'[' expr ']')* {_MORE} | startprimary ({_POST}|'[' expr ']')* {_MORE} | 'C(' type ('&' type)* ')' operand {_MORE}
 expr: operand {_MORE}
 operand: ('+'|'-'|'!'|'~'|'++'|'--') operand | 'C(' type ('&' type)* ')' operand
   | primary ({_POST} | '[' (expr ']' | ']'))*
 primary: ID [targs | '->' (block | expr)] | prim ('[' ']')* ('.' 'class' | '::' 'new') | nonnameprimary | 'switch' paren '{{' (label+ (statement)*)* '}}'
-nonnameprimary: NUM | STR | CHAR | 'true' | 'false' | 'null' | 'this' | 'super' | '(' expr ')' | 'new' creator
+nonnameprimary: NUM | STR | CHAR | 'true' | 'false' | 'null' | startprimary
+startprimary: 'this' | 'super' | '(' expr ')' | 'new' creator
   | 'L(' [lparam (',' lparam)*] ')' '->' (block | expr)
 lparam: modifier* (ID [targs] ('.' ID [targs])* | prim) ('[' ']')* ['...'] [ID ('[' ']')*]
 creator: annotation* [targs] ( ID [targs] ('.' ID [targs])* | prim ) ( args [classbody] | ('[' ( expr ']' | ']' ))+ [arrayinit] )
@@ -146,7 +150,7 @@ importees: '*' | '(' NAME ['as' NAME] (',' [NAME ['as' NAME]])* ')' | NAME ['as'
 dotted: NAME ('.' NAME)*
 exprstmt: starlist ( ':' test ['=' (yield | starlist)] | ({_PAUG}) (yield | starlist) | ('=' (yield | starlist))* ) | yield
 compound: 'if' named ':' suite ('elif' named ':' suite)* ['else' ':' suite] | 'while' named ':' suite ['else' ':' suite]
-  | 'for' exprlist 'in' starlist ':' suite ['else' ':' suite] | 'try' ':' suite ( ('except' ['*'] [test [',' test]* ['as' NAME]] ':' suite)+ ['else' ':' suite] ['finally' ':' suite] | 'finally' ':' suite )
+  | 'for' exprlist 'in' starlist ':' suite ['else' ':' suite] | 'try' ':' suite ( ('except' ['*'] [test ['as' NAME]] ':' suite)+ ['else' ':' suite] ['finally' ':' suite] | 'finally' ':' suite )
   | 'with' withitems ':' suite | 'def' NAME [typeparams] '(' [params] ')' ['->' test] ':' suite | 'class' NAME [typeparams] ['(' [arglist] ')'] ':' suite
   | '@' named NL+ (compound) | 'async' compound | 'match' starlist ':' NL INDENT casepart+ DEDENT
 casepart: 'case' pattern (',' [pattern])* ['if' named] ':' suite
@@ -159,16 +163,21 @@ typeparams: '[' typeparam (',' [typeparam])* ']'
 typeparam: ('*'|'**') NAME | NAME [':' test]
 withitems: test ['as' expr] (',' test ['as' expr])*
 suite: simple | NL+ INDENT (statement | NL)+ DEDENT
-params: param (',' [param])*
-param: ('*' [NAME [':' startest]] | '**' NAME [':' test] | '/' | NAME [':' test] ['=' test])
+params: NAME [':' test] ('=' test [',' [defaulted]] | [',' [params]]) | '/' [',' [params]] | starparams
+defaulted: NAME [':' test] '=' test [',' [defaulted]] | '/' [',' [defaulted]] | starparams
+starparams: '*' [NAME [':' startest]] [',' [named_only]] | '**' NAME [':' test] [',']
+named_only: NAME [':' test] ['=' test] [',' [named_only]] | '**' NAME [':' test] [',']
 startest: ['*'] test
 yield: 'yield' ['from' test | starlist]
 starlist: starred (',' [starred])*
 starred: '*' expr | named
 named: test [':=' test]
 test: ortest ['if' ortest 'else' test] | lambda
-lambda: 'lambda' [lparam (',' [lparam])*] ':' test
-lparam: '*' [NAME] | '**' NAME | '/' | NAME ['=' test]
+lambda: 'lambda' [lparams] ':' test
+lparams: NAME ('=' test [',' [ldefaulted]] | [',' [lparams]]) | '/' [',' [lparams]] | lstar
+ldefaulted: NAME '=' test [',' [ldefaulted]] | '/' [',' [ldefaulted]] | lstar
+lstar: '*' [NAME] [',' [lnamed]] | '**' NAME [',']
+lnamed: NAME ['=' test] [',' [lnamed]] | '**' NAME [',']
 ortest: nottest (('and'|'or') nottest)*
 nottest: 'not' nottest | comparison
 comparison: expr (('<'|'>'|'=='|'>='|'<='|'!='|'in'|'not' 'in'|'is' ['not']) expr)*
@@ -182,8 +191,9 @@ exprlist: ('*' expr | expr) (',' ['*' expr | expr])*
 dictorset: '**' expr [dicttail] | '*' expr [settail] | named ( ':' test [compfor | dicttail] | [compfor | settail] )
 dicttail: (',' ['**' expr | test ':' test])+
 settail: (',' ['*' expr | named])+
-arglist: argument (',' [argument])*
-argument: '**' test | '*' test | test [compfor | ':=' test | '=' test]
+arglist: '*' test [',' [arglist]] | '**' test [',' [afterdict]] | test ( '=' test [',' [keywords]] | [compfor | ':=' test] [',' [arglist]] )
+keywords: '*' test [',' [keywords]] | '**' test [',' [afterdict]] | test '=' test [',' [keywords]]
+afterdict: '**' test [',' [afterdict]] | test '=' test [',' [afterdict]]
 compfor: ['async'] 'for' exprlist 'in' ortest [compiter]
 compiter: compfor | 'if' comptest [compiter]
 comptest: ortest [':=' test] | lambda

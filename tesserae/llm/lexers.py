@@ -29,8 +29,9 @@ _AFTER_CAST = {"ID", "NUM", "STR", "CHAR", "(", "!", "~", "this", "super", "new"
 _NUM_RUN = re.compile(r"[\w$]")
 
 
+_JAVA_BAD_ESCAPE = re.compile(r"(?:[^\\]|\\[btnfrs\"'\\0-7\n])*\\(?![btnfrs\"'\\0-7\n])")
 _JAVA_HIDE = re.compile(
-    r'//[^\n]*|/\*(?s:.*?)\*/|"""[ \t\f]*\n(?:[^"\\]|\\(?s:.)|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)\''
+    r'//[^\n]*|/\*(?s:.*?)\*/|"""[ \t\f]*\n(?:[^"\\]|\\[btnfrs"\'\\0-7\n]|"(?!""))*"""|"(?:[^"\\\n]|\\[btnfrs"\'\\0-7])*"|\'(?:[^\'\\\n]|\\[0-7]{1,3}|\\[btnfrs"\'\\])\''
 )
 _JAVA_NAME = re.compile(r"(?<![\w$])(?!(?:" + "|".join(sorted(w for w in [*_JAVA_WORDS, "record", "sealed", "permits", "yield", "non"] if w[0] != "@")) + r")(?![\w$]))(?:[^\W\d]|\$)[\w$]*")
 _JAVA_NUMBER = re.compile(r"(?<![\w$.])\d+(?:\.\d+)?[lLfFdD]?(?![\w$.])")
@@ -69,9 +70,9 @@ def java_shapes(text: str) -> list[tuple] | None:
 def _first(tok: str) -> str:
     c = tok[0]
     if c == '"':
-        return "STR" if len(tok) > 1 else "BAD"
+        return "STR" if len(tok) > 1 and not ("\\" in tok and _JAVA_BAD_ESCAPE.match(tok)) else "BAD"
     if c == "'":
-        return "CHAR" if len(tok) > 2 else "BAD"
+        return "CHAR" if len(tok) > 2 and not ("\\" in tok and _JAVA_BAD_ESCAPE.match(tok)) else "BAD"
     if c == "/":
         return "/*" if tok[1] == "*" else "//"
     if c.isdigit() or c == ".":
@@ -316,7 +317,7 @@ _PY_OPS = "( ) [ ] { } : , ; . = + - * / % @ & | ^ ~ < > -> := ** // << >> <= >=
 _PY_MAP = {w: w for w in _PY_WORDS + _PY_OPS} | {"\n": "\n"}
 _PY = re.compile(
     r"(?P<skip>[ \t\f]+|\\\n|#[^\n]*)|(?P<str>(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?(?:\"\"\"(?:[^\"\\]|\\(?s:.)|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\(?s:.)|'(?!''))*'''|\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*'))"
-    r"|(?P<id>[^\W\d]\w*)|(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:(?:0(?:_?0)*|[1-9](?:_?\d)*)(?![\d_.eEjJ]))|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![^\W_]))"
+    r"|(?P<id>[^\W\d]\w*)|(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:(?:0(?:_?0)*|[1-9](?:_?\d)*)(?![\d_.eEjJ]))|(?:(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])))(?![^\W_]))"
     r"|(?P<op>\n|\.\.\.|\*\*=|//=|>>=|<<=|->|:=|\*\*|//|<<|>>|[<>=!+*/%@&|^-]=|[()\[\]{}:,;.=+*/%@&|^~<>-])|(?P<bad>(?s:.))"
 )
 

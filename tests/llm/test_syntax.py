@@ -50,6 +50,27 @@ def test_invalid(ext, text):
             ast.parse(text)
 
 
+@pytest.mark.parametrize("ext,text", [
+    *(("java", "class A { void f() { %s } }" % x) for x in ("try { }", "try { a(); } b();", "5;", "true;", "-a;", '"x";', 'g("\\q");', "g('\\z');")),
+    *(("py", x) for x in ("try:\n    pass\nexcept X, e:\n    pass\n", "f(a=1, 2)\n", "f(**a, *b)\n", "def f(a=1, b): pass\n", "x = lambda a=1, b: a\n", "os.chmod(p, 0755)\n", "x = 01\n")),
+])
+def test_invalid_again(ext, text):
+    assert first_error(ext, text) is not None
+    if ext == "py":
+        with pytest.raises(SyntaxError):
+            ast.parse(text)
+
+
+@pytest.mark.parametrize("ext,text", [
+    *(("java", "class A { void f() { %s } }" % x) for x in ("try (R r = a()) { }", "try { } catch (X e) { }", "try { } finally { }", '"x".length();', 'g("\\n\\0\\177\\s");', "this.a = 1;", "(a).b();", "++a;", "int b = -5;", "new A().b();", "super.f();", 'g("\\u0041");')),
+    *(("py", x) for x in ("f(a, *b, c, d=1, *e, **g, h=2)\n", "f(x for x in y)\n", "def f(a, b=1, /, c=2, *, d, e=3, **g): pass\n", "def f(a, /, b): pass\n", "x = lambda a, b=1, *c, d, **e: a\n", "x = 0, 00, 0_0, 1_0, 0.5, 01.5, 01e3, 07j, 1., .5, 1e5, 3J\n", "class A(B, c=D): pass\n", "def f(*, a,): pass\n", "f(a, )\n")),
+])
+def test_valid_again(ext, text):
+    assert first_error(ext, text) is None
+    if ext == "py":
+        ast.parse(text)
+
+
 def test_edge_rows(spark):
     rows = [("p", "a.java", "class {"), ("p", "a.java", "class {"), ("p", "b.java", None), ("p", "c.java", ""), (None, "d.json", "{"), ("p", None, "x"), ("p", "e.txt", "{"), ("p", "f.java", "class A { " + "int x; " * 50_000 + "}")]
     df = spark.createDataFrame(rows, "project string, file string, text string").selectExpr("*", "1 AS line", "'x' AS ext")
