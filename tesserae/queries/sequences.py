@@ -41,7 +41,7 @@ def prediction_context(t):
 
 def _cases(kind):
     def f(t):
-        c = cases.cases(_rendered(t), "path", kind, 50)
+        c = cases.cases(_rendered(t), "path", kind, cases.CONTEXT)
         return c.select("path", F.array_join("before", " ").alias("before"), F.array_join("after", " ").alias("after"), "label")
 
     f.__name__, f.__doc__ = f"cases_{kind}", f"One {kind} case a file, nulls where there is none."
@@ -57,7 +57,7 @@ def training_cases(t):
     """Cases of projects that log enough."""
     r = _rendered(t)
     low = cases.ignored(cases.coverage(r, "project").where("project is not null"), 10)
-    c = cases.cases(r, "path", "level", 50).withColumn("project", F.substring_index("path", "/", 1))
+    c = cases.cases(r, "path", "level", cases.CONTEXT).withColumn("project", F.substring_index("path", "/", 1))
     return cases.training_rows(c, low, "project").select("path", "label")
 
 

@@ -169,3 +169,10 @@ def test_streams(spark, tmp_path):
     v.processAllAvailable()
     v.stop()
     assert {r.token: r.freq for r in spark.table("lv").collect()}["a"] == 1
+
+
+def test_case_queries_have_the_whole_context(spark):
+    from tesserae import catalog
+
+    rows = catalog.QUERIES["cases_level"](spark, "/root/testdata/sf0.001").where("before is not null").limit(3).collect()
+    assert rows and {len(x.split(" ")) for r in rows for x in (r.before, r.after)} == {cases.CONTEXT}
