@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 
 _JAVA = re.compile(
-    r'[ \t\f]*([^\W\d](?<!\d)[\w$]*|\n|[(){}\[\];,~?]|"""[ \t\f]*\n(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.|[\ud800-\udbff][\udc00-\udfff])\''
-    r"|//[^\n]*|/\*(?s:.*?)\*/|@interface\b|non-sealed\b|[^\W\d][\w$]*|\$[\w$]*"
+    r'[ \t\f]*(@interface(?![\w$])|non-sealed(?![\w$])|[^\W\d](?<!\d)[\w$]*|\n|[(){}\[\];,~?]|"""[ \t\f]*\n(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.|[\ud800-\udbff][\udc00-\udfff])\''
+    r"|//[^\n]*|/\*(?s:.*?)\*/|[^\W\d][\w$]*|\$[\w$]*"
     r"|0[xX](?:[\da-fA-F_]+\.?[\da-fA-F_]*|\.[\da-fA-F_]+)(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?[lLfFdD]?"
     r"|\n|>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||[=!<>+*/%&|^-]=|<<|[^\s])"
 )
@@ -19,23 +19,19 @@ _JAVA_WORDS = {
     w: w for w in (
         "abstract assert boolean break byte case catch char class continue default do double else enum extends final finally float for if implements import "
         "instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws "
-        "transient try void volatile while true false null @interface non-sealed"
+        "transient try void volatile while true false null @interface non-sealed record sealed permits yield module open"
     ).split()
 } | {w: "BAD" for w in ("goto", "const")}
 _OPS = "( ) { } [ ] ; , . @ = < > ! ~ ? : + - * / % & | ^ -> :: ++ -- && || == != <= >= += -= *= /= %= &= |= ^= << <<= >>= >>>= ...".split()
 _JAVA_MAP = _JAVA_WORDS | {o: o for o in _OPS} | {"\n": "\n"}
-_PRIM = {"int", "long", "short", "byte", "char", "boolean", "float", "double", "void"}
-_AFTER_CAST = {"ID", "NUM", "STR", "CHAR", "(", "!", "~", "this", "super", "new", "true", "false", "null", "switch", "L(", "C("} | _PRIM
-_NUM_RUN = re.compile(r"[\w$]")
-
-
+_JAVA_BAD_NUMBER = re.compile(r"0[0-7_]*[89][\d_]*[lL]?|.*_[lLfFdD]?|0[xXbB]", re.S)
 _JAVA_BAD_ESCAPE = re.compile(r"(?:[^\\]|\\[btnfrs\"'\\0-7\n])*\\(?![btnfrs\"'\\0-7\n])")
 _JAVA_HIDE = re.compile(
     r'//[^\n]*|/\*(?s:.*?)\*/|"""[ \t\f]*\n(?:[^"\\]|\\[btnfrs"\'\\0-7\n]|"(?!""))*"""|"(?:[^"\\\n]|\\[btnfrs"\'\\0-7])*"|\'(?:[^\'\\\n]|\\[0-7]{1,3}|\\[btnfrs"\'\\])\''
 )
-_JAVA_NAME = re.compile(r"(?<![\w$])(?!(?:" + "|".join(sorted(w for w in [*_JAVA_WORDS, "record", "sealed", "permits", "yield", "non"] if w[0] != "@")) + r")(?![\w$]))(?:[^\W\d]|\$)[\w$]*")
-_JAVA_NUMBER = re.compile(r"(?<![\w$.])\d+(?:\.\d+)?[lLfFdD]?(?![\w$.])")
-_SHAPES: dict[str, tuple | None] = {}
+_JAVA_NAME = re.compile(r"(?<![\w$])(?!(?:" + "|".join(sorted(w for w in [*_JAVA_WORDS, "non"] if w[0] != "@")) + r")(?![\w$]))(?:[^\W\d]|\$)[\w$]*")
+_JAVA_NUMBER = re.compile(r"(?<![\w$.])(?:0|[1-9]\d*)(?:\.\d+)?[lLfFdD]?(?![\w$.])")
+_SHAPES: dict[str, tuple] = {}
 _SHAPE_ENTRIES = 200_000
 
 
@@ -46,159 +42,41 @@ def _hidden(m) -> str:
     return "\x02" if s[0] == "'" else " " + "\n" * s.count("\n")
 
 
-def java_shapes(text: str) -> list[tuple] | None:
-    """The lines of a Java file as terminals, by way of remembered line shapes: literals, comments and
-    names are blanked in three passes over the text, so most lines were seen before. None if a line
-    can't be read alone; ``java`` reads any file."""
-    if "\\u" in text or "\r" in text or "\x01" in text or "\x02" in text:
-        return None
-    lines = _JAVA_NUMBER.sub("0", _JAVA_NAME.sub("a", _JAVA_HIDE.sub(_hidden, text))).split("\n")
-    out = []
-    for line in lines:
-        line = line.strip()
-        if line:
-            if line not in _SHAPES:
-                if len(_SHAPES) > _SHAPE_ENTRIES:
-                    _SHAPES.clear()
-                got = java(line.replace("\x01", '""').replace("\x02", "'a'"))
-                _SHAPES[line] = got[0][1] if len(got) == 2 else ("BAD",)
-            out.append(_SHAPES[line])
-    out.append(("EOF",))
-    return out
-
-
 def _first(tok: str) -> str:
+    """Terminal of a Java token that isn't a fixed word or sign."""
     c = tok[0]
     if c == '"':
         return "STR" if len(tok) > 1 and not ("\\" in tok and _JAVA_BAD_ESCAPE.match(tok)) else "BAD"
     if c == "'":
         return "CHAR" if len(tok) > 2 and not ("\\" in tok and _JAVA_BAD_ESCAPE.match(tok)) else "BAD"
-    if c == "/":
-        return "/*" if tok[1] == "*" else "//"
     if c.isdigit() or c == ".":
-        return "NUM"
+        return "BAD" if _JAVA_BAD_NUMBER.fullmatch(tok) else "NUM"
     if c.isalpha() or c in "_$":
         return "ID"
     return "BAD"
 
 
 def java(text: str) -> list[tuple[int, tuple]]:
+    """By way of remembered line shapes: literals, comments and names are blanked in three passes over
+    the text, so most lines were seen before."""
     if "\\u" in text:
         text = re.sub(r"(?<!\\)((?:\\\\)*)\\u+([0-9a-fA-F]{4})", lambda m: m[1] + (chr(int(m[2], 16)) if chr(int(m[2], 16)).isalnum() else "_"), text)
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    toks = _JAVA.findall(text)
-    get = _JAVA_MAP.get
-    terms, lines, line, angle = [], [], 1, False
-    for tok in toks:
-        t = get(tok) or _first(tok)
-        if t == "\n":
-            line += 1
-        elif t == "/*" or t == "STR" and tok[1:3] == '""':
-            line += tok.count("\n")
-            if t == "STR":
-                terms.append(t)
-                lines.append(line)
-        elif t == "//":
-            pass
-        else:
-            angle |= t == "<"
-            terms.append(t)
-            lines.append(line)
-    words = [tok for tok in toks if tok != "\n" and tok[:2] not in ("//", "/*")] if re.search(r"\b(?:record|sealed|permits|yield)\b", text) else None
-    if words:
-        _soft_java(words, terms)
-    if angle:
-        _generics(terms)
-    _parens(terms)
-    return _lines(terms, lines, line)
-
-
-def _soft_java(words: list[str], terms: list[str]) -> None:
-    for i, w in enumerate(words):
-        nxt = terms[i + 1] if i + 1 < len(terms) else ""
-        before = terms[i - 1] if i else ";"
-        if w == "record" and nxt == "ID" and i + 2 < len(terms) and terms[i + 2] in "(<" and before not in (".", "new", "(", ",", "=", "return"):
-            terms[i] = "record"
-        elif w == "sealed" and nxt in ("class", "interface", "abstract", "public", "static", "private", "protected", "strictfp"):
-            terms[i] = "sealed"
-        elif w == "permits" and nxt == "ID" and before in ("ID", ">"):
-            terms[i] = "permits"
-        elif w == "yield" and before in ("{", "}", ";", "->", ":") and nxt not in ("=", ".", "(", "[", "++", "--", "+=", "-=", "->", ":", ""):
-            terms[i] = "yield"
-
-
-_IN_ANGLE = {"ID", ".", ",", "?", "extends", "super", "&", "[", "]", "@"} | _PRIM
-
-
-def _generics(terms: list[str]) -> None:
-    """Mark the brackets of type arguments: a ``<`` after a name, a dot, a modifier or a brace whose
-    contents are types only and which closes."""
-    n, i = len(terms), 0
-    while i < n:
-        if terms[i] == "<":
-            depth, j, open_at = 1, i + 1, [i]
-            marks = []
-            while j < n and depth:
-                t = terms[j]
-                if t == "<":
-                    depth += 1
-                    open_at.append(j)
-                elif t == ">":
-                    depth -= 1
-                    marks += [(open_at.pop(), "G<"), (j, "G>")]
-                elif t not in _IN_ANGLE:
-                    break
-                j += 1
-            if not depth and (j >= n or terms[j] not in ("NUM", "STR", "CHAR", "!", "~", "-", "+", "this", "true", "false", "null")):
-                for k, t in marks:
-                    terms[k] = t
-                i = j
-                continue
-        i += 1
-
-
-def _parens(terms: list[str]) -> None:
-    """Mark the opening brackets of lambda heads (``L(``) and the brackets of casts (``C(``, ``C)``)."""
-    stack = []
-    for i, t in enumerate(terms):
-        if t == "(":
-            stack.append(i)
-        elif t == ")" and stack:
-            o, nxt = stack.pop(), terms[i + 1] if i + 1 < len(terms) else ""
-            if nxt == "->":
-                if terms[o - 1] not in ("ID", "case") or o == 0:
-                    terms[o] = "L("
-            elif i > o + 1 and (o == 0 or terms[o - 1] not in _NO_CAST):
-                inner = terms[o + 1:i]
-                prim = inner[0] in _PRIM
-                if prim and (len(inner) == 1 or set(inner[1:]) <= {"[", "]"}) and nxt not in (";", ")", "{", ",") or inner[0] == "ID" and nxt in _AFTER_CAST and _type_only(inner):
-                    terms[o] = "C("
-
-
-_NO_CAST = {"ID", ")", "]", "if", "while", "for", "switch", "catch", "synchronized", "this", "super", "G>", "try"}
-
-
-def _type_only(inner: list[str]) -> bool:
-    depth, want = 0, True
-    for k, t in enumerate(inner):
-        if t == "G<":
-            depth += 1
-        elif t == "G>":
-            depth -= 1
-        elif not depth:
-            if t == "ID":
-                if not want:
-                    return False
-                want = False
-            elif t in (".", "&"):
-                want = True
-            elif t == "[":
-                if k + 1 >= len(inner) or inner[k + 1] != "]":
-                    return False
-            elif t != "]":
-                return False
-    return not want
+    text = text.replace("\x01", "\x03").replace("\x02", "\x03").removesuffix("\x1a")
+    out, lines = [], _JAVA_NUMBER.sub("0", _JAVA_NAME.sub("aa", _JAVA_HIDE.sub(_hidden, text))).split("\n")
+    for no, line in enumerate(lines, 1):
+        line = line.strip()
+        if line:
+            terms = _SHAPES.get(line)
+            if terms is None:
+                if len(_SHAPES) > _SHAPE_ENTRIES:
+                    _SHAPES.clear()
+                toks = _JAVA.findall(line.replace("\x01", '""').replace("\x02", "'a'"))
+                terms = _SHAPES[line] = tuple(_JAVA_MAP.get(t) or _first(t) for t in toks if t[:2] not in ("//", "/*"))
+            out.append((no, terms))
+    out.append((len(lines), ("EOF",)))
+    return out
 
 
 def _lines(terms: list[str], lines: list[int], last: int) -> list[tuple[int, tuple]]:
@@ -226,8 +104,9 @@ _JS = re.compile(
     r"|(?P<op>\n| | |\?\.(?!\d)|\.\.\.|>>>=|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|===|!==|=>|\+\+|--|\*\*|&&|\|\||\?\?|[=!<>+*/%&|^-]=|<<|>>|[(){}\[\];,.=<>!~?:+*/%&|^-])"
     r"|(?P<private>#[\w$]+)|(?P<bad>.)"
 )
-_JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[\w$]*")
+_JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/([\w$]*)")
 _TPL = re.compile(r"(?:[^`\\$]|\\(?s:.)|\$(?!\{))*(`|\$\{)?")
+_EXPRESSION = {"(", "[", ",", "=", ":", "?", "return", "typeof", "=>", "&&", "||", "??", "!", "+", "-", "*", "==", "===", "!=", "!==", "+=", "in", "of", "throw", "new", "void", "delete", "case"} - {"=>"}
 _VALUE_END = {"ID", "NUM", "STR", "REGEX", "TPL", "TPLTAIL", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "async", "let", "static", "get", "set", "of", "PRIVATE"}
 
 
@@ -235,9 +114,11 @@ def javascript(text: str) -> list[tuple[int, tuple]]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     terms, lines, line, at, n = [], [], 1, 0, len(text)
-    braces: list[bool] = []
+    braces: list[bool | None] = []  # True: of a template, False: of an expression, None: of a block
     parens: list[bool] = []
-    regex_after_paren = False
+    regex_after_paren = regex_after_brace = False
+    if text[:1] == "\ufeff":
+        text, n = text[1:], n - 1
     if text[:2] == "#!":
         at = text.find("\n") if "\n" in text else n
 
@@ -272,16 +153,16 @@ def javascript(text: str) -> list[tuple[int, tuple]]:
         if kind == "op":
             t = _JS_MAP[tok]
             if t == "\n":
-                if terms and lines[-1] == line and terms[-1] in ("return", "break", "continue", "throw"):
+                if terms and lines[-1] == line and terms[-1] in ("return", "break", "continue", "throw") and terms[-2:-1] not in (["."], ["?."]):
                     add(";")
                 line += 1
                 at = m.end()
                 continue
             if t in ("/", "/="):
                 before = terms[-1] if terms else ";"
-                if before not in _VALUE_END or before == ")" and regex_after_paren:
+                if before not in _VALUE_END or before == ")" and regex_after_paren or before == "}" and regex_after_brace:
                     r = _JS_REGEX.match(text, at)
-                    add("REGEX" if r else "BAD")
+                    add("REGEX" if r and set(r[1]) <= set("dgimsuvy") and len(set(r[1])) == len(r[1]) else "BAD")
                     at = r.end() if r else at + 1
                     continue
             elif t == "(":
@@ -289,14 +170,17 @@ def javascript(text: str) -> list[tuple[int, tuple]]:
             elif t == ")":
                 regex_after_paren = parens.pop() if parens else False
             elif t == "{":
-                braces.append(False)
+                braces.append(False if terms and terms[-1] in _EXPRESSION else None)
             elif t == "}":
-                if braces and braces.pop():
+                kind = braces.pop() if braces else None
+                if kind:
                     at = template(at + 1, False, True)
                     continue
-            elif t in ("++", "--") and terms and lines[-1] != line and terms[-1] in ("ID", ")", "]"):
-                terms.append(";")
-                lines.append(lines[-1])
+                regex_after_brace = kind is None
+            elif t in ("++", "--") and terms and lines[-1] != line:
+                t = "N" + t
+            elif t == "=>" and terms and lines[-1] != line:
+                t = "BAD"
             add(t)
         elif kind == "id":
             add(_JS_MAP.get(tok, "ID"))
@@ -315,13 +199,19 @@ _PY_WORDS = (
 ).split()
 _PY_OPS = "( ) [ ] { } : , ; . = + - * / % @ & | ^ ~ < > -> := ** // << >> <= >= == != += -= *= /= %= @= &= |= ^= >>= <<= **= //= ...".split()
 _PY_MAP = {w: w for w in _PY_WORDS + _PY_OPS} | {"\n": "\n"}
+_PY_FORMAT = re.compile(r"(?:[rR][fFtT]|[fFtT][rR]?)(\"\"\"|'''|\"|')")
+_PY_ESCAPE = re.compile(r"[^\\]*(?:\\(?:x(?![\da-fA-F]{2})|u(?![\da-fA-F]{4})|U(?![\da-fA-F]{8})|N(?!\{))()|\\(?s:.)[^\\]*)*")
 _PY = re.compile(
-    r"(?P<skip>[ \t\f]+|\\\n|#[^\n]*)|(?P<str>(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?(?:\"\"\"(?:[^\"\\]|\\(?s:.)|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\(?s:.)|'(?!''))*'''|\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*'))"
+    r"(?P<skip>[ \t\f]+|\\\n|#[^\n]*)|(?P<str>(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?(?:\"\"\"(?:[^\"\\]|\\(?s:.)|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\(?s:.)|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\(?s:.))*\"|'(?!'')(?:[^'\\\n]|\\(?s:.))*'))"
     r"|(?P<id>[^\W\d]\w*)|(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:(?:0(?:_?0)*|[1-9](?:_?\d)*)(?![\d_.eEjJ]))|(?:(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])))(?![^\W_]))"
     r"|(?P<op>\n|\.\.\.|\*\*=|//=|>>=|<<=|->|:=|\*\*|//|<<|>>|[<>=!+*/%@&|^-]=|[()\[\]{}:,;.=+*/%@&|^~<>-])|(?P<bad>(?s:.))"
 )
 
 
+_PY_BLANK = re.compile(r"[ \t\f]*")
+_PY_SPEC = re.compile(r"(?:=\s*)?(?:!\s*[rsa]\s*)?(?:([:}]))?")
+
+
 def python(text: str) -> list[tuple[int, tuple]]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -330,7 +220,7 @@ def python(text: str) -> list[tuple[int, tuple]]:
     terms: list[str] = []
     lines: list[int] = []
     words: list[str] = []
-    line, at, n, depth, indents, fresh = 1, 0, len(text), 0, [0], True
+    line, at, n, depth, indents, fresh = 1, 0, len(text), 0, [(0, 0)], True
     head = 0
 
     def add(t, w=""):
@@ -338,9 +228,80 @@ def python(text: str) -> list[tuple[int, tuple]]:
         lines.append(line)
         words.append(w)
 
+    def formatted(at: int, quote: str, raw: bool) -> int:
+        """Add the fields of the formatted string whose text begins at ``at``; the place behind its end."""
+        nonlocal line
+        while at < n:
+            c = text[at]
+            if text.startswith(quote, at):
+                return at + len(quote)
+            if c == "\n":
+                if len(quote) == 1:
+                    break
+                line += 1
+            if c == "\\" and text[at + 1:at + 2] in ("{", "}"):
+                at += 1
+            elif c == "\\":
+                line += text[at + 1:at + 2] == "\n"
+                at = text.find("}", at) + 1 if not raw and text.startswith("N{", at + 1) and "}" in text[at:] else at + 2
+            elif c in "{}" and text.startswith(c * 2, at):
+                at += 2
+            elif c == "{":
+                at = field(at + 1, quote, raw)
+            elif c == "}":
+                break
+            else:
+                at += 1
+        add("BAD")
+        return n
+
+    def field(at: int, quote: str, raw: bool) -> int:
+        nonlocal line
+        add("F{")
+        inner = 0
+        while at < n:
+            if not inner and text[at] in "}:!=" and not (text[at] in "!=" and text.startswith("=", at + 1)):
+                break
+            f = _PY_FORMAT.match(text, at)
+            if f:
+                add("STR")
+                at = formatted(f.end(), f[1], "r" in f[0].lower())
+                continue
+            m = _PY.match(text, at)
+            kind, tok, at = m.lastgroup, m[0], m.end()
+            line += tok.count("\n")
+            if kind == "op" and tok != "\n":
+                inner += (tok in "([{") - (tok in ")]}") if len(tok) == 1 else 0
+                add(_PY_MAP[tok])
+            elif kind == "id":
+                add(_PY_MAP.get(tok, "NAME"))
+            elif kind in ("str", "num", "bad"):
+                add({"str": "STR", "num": "NUM"}.get(kind, "BAD"))
+        m = _PY_SPEC.match(text, at)
+        at = m.end()
+        add("F}")
+        if m[1] == ":":
+            while at < n and text[at] != "}":
+                if text[at] == "{":
+                    at = field(at + 1, quote, raw)
+                elif text.startswith(quote, at):
+                    break
+                else:
+                    line += text[at] == "\n"
+                    at += 1
+        elif m[1] is None:
+            add("BAD")
+            return n
+        if m[1] == ":":
+            if not text.startswith("}", at):
+                add("BAD")
+                return n
+            at += 1
+        return at
+
     while at < n:
         if fresh:
-            m = re.compile(r"[ \t\f]*").match(text, at)
+            m = _PY_BLANK.match(text, at)
             at = m.end()
             if at >= n or text[at] in "#\n":
                 end = text.find("\n", at)
@@ -353,17 +314,22 @@ def python(text: str) -> list[tuple[int, tuple]]:
                 at += 2
                 line += 1
                 continue
-            col = len(m[0].expandtabs(8))
-            if col > indents[-1]:
+            col = len(m[0].expandtabs(8)), len(m[0])
+            if col[0] > indents[-1][0]:
+                add("INDENT" if col[1] > indents[-1][1] else "BAD")
                 indents.append(col)
-                add("INDENT")
             else:
-                while col < indents[-1]:
+                while col[0] < indents[-1][0]:
                     indents.pop()
                     add("DEDENT")
                 if col != indents[-1]:
                     add("BAD")
             fresh, head = False, len(terms)
+        f = _PY_FORMAT.match(text, at)
+        if f:
+            add("STR")
+            at = formatted(f.end(), f[1], "r" in f[0].lower())
+            continue
         m = _PY.match(text, at)
         kind, tok = m.lastgroup, m[0]
         at = m.end()
@@ -391,7 +357,8 @@ def python(text: str) -> list[tuple[int, tuple]]:
         elif kind == "id":
             add(_PY_MAP.get(tok, "NAME"), tok)
         elif kind == "str":
-            add("STR")
+            bad = "\\" in tok and not set(tok.partition(tok[-1])[0]) & set("rRbB") and _PY_ESCAPE.match(tok)[1] is not None
+            add("BAD" if bad else "STR")
             line += tok.count("\n")
         else:
             add("NUM" if kind == "num" else "BAD")

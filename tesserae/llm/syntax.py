@@ -28,18 +28,12 @@ ERRORS = "project string, file string, ext string, line int, message string"
 
 @cache
 def grammar(ext: str) -> Grammar:
-    return Grammar(getattr(grammars, LANGUAGES[ext][0]), "file")
+    return Grammar(getattr(grammars, LANGUAGES[ext][0]), "file", grammars.SOFT.get(ext, ()))
 
 
 def first_error(ext: str, text: str) -> tuple[int, str] | None:
     """(line, message) of the first token at which ``text`` stops being a file of ``ext``; None if it is one."""
     g = grammar(ext)
-    if ext == "java":
-        shapes = lexers.java_shapes(text)
-        if shapes is not None and g.parse(shapes) is None:
-            return None
-        if not text.strip():
-            return None
     lines = LANGUAGES[ext][1](text)
     bad = g.parse([terms for _, terms in lines], ext == "js")
     if bad is None:
