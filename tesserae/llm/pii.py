@@ -32,10 +32,10 @@ _GREETING = {"regards", "thanks", "hi", "hello", "dear", "cheers", "best", "dank
 # Phrases that stand before (or after) a person.
 _BEFORE = (
     "Signed-off-by:", "Reviewed-by:", "Acked-by:", "Tested-by:", "Reported-by:", "Co-authored-by:", "Suggested-by:", "Reported by", "Reviewed by", "Thanks to", "Merci à", "Danke an",
-    "Gracias a", "Grazie a", "Obrigado a", "@author", "assignee=", "assignee:", "reporter=", "owner=", "TODO(", "FIXME(", "cc ", "Cc:", "CC:", "I talked with", "talked to", "spoke with", "written by", "name='",
+    "Gracias a", "Grazie a", "Obrigado a", "@author", "assignee=", "assignee:", "reporter=", "owner=", "TODO(", "FIXME(", "cc ", "Cc:", "CC:", "talked with", "talked to", "spoke with", "spoke to", "written by", "name='",
     'name="', '"name": "', '"user": "', '"author": "', "Author:", "author:", "From:", "To:", "Dear", "As", "Regards,", "Cheers,", "Best,", "user:", "met with", "ask", "Copyright",
 )
-_AFTER = (" wrote:", " asked us", " said", " schrieb:", " a écrit", " escribió:", " reported", " suggested")
+_AFTER = (" wrote:", " asked", " said", " schrieb:", " a écrit", " escribió:", " reported", " suggested")
 
 _U, _L = "A-ZÀ-ÖØ-ÞŁŚŻŹĆŃÓĄĘŠČŽ", "a-zß-öø-ÿłśżźćńóąęšžč"
 _W = rf"[{_U}][{_L}]+(?:['’-][{_U}]?[{_L}]+)*"
@@ -47,9 +47,18 @@ _PERSON = re.compile(
 _COPYRIGHT = re.compile(r"\s*(?:\(c\)|©)?\s*\d{4}(?:\s*-\s*\d{4})?,?\s+", re.I)
 _LONE = re.compile(rf"(?m)^[>* \t/#-]*((?:[{_U}]\. )+{_W}|{_CAPS}(?: [{_U}]\.)? {_CAPS}),?[ \t\r]*(?:\*/)?[ \t\r]*$")
 # Words of software, organisations and streets; in a name only beside better evidence, see ``_person``.
-_NOT_GIVEN = set("The This That Our All Main Worker Thread Threads Wall Clock Road Map Sort Quick Gate Adapter Algorithm Ocean Class Build Terms Licence License Team Project Inc Ltd Group Foundation Street Close Avenue Server Client Manager Factory Service".split())
-_STREETS = {"Street", "Road", "Avenue", "Close"}
-_THINGS = _NOT_GIVEN - _STREETS - {"Quick", "Gate", "Ocean", "Sort", "Map", "Clock", "Wall"}
+_STREETS = {"Street", "Road", "Avenue", "Close", "Lane", "Court", "Square", "Drive", "Crescent"}
+_SURNAMES_TOO = set("Quick Gate Ocean Sort Map Clock Wall Field Bond Banks Bridges Case Cook Cross Day Forest Fox Gates House Lake Page Park Pool Rivers Snow Stone Storm Summer Winter Wood Woods Young Best Price Sharp Short Long Small Rich Strong Wise".split())
+_THINGS = set(
+    "The This That These Those Our All Any Some Each Every Both Other Another Such No Not Only Main Worker Thread Threads Adapter Algorithm Class Build Terms Licence License Team Project Inc Ltd Group Foundation Server Client "
+    "Manager Factory Service Services System Systems Software Engine Module Modules Package Packages Library Framework Function Method Object Objects Interface Handler Listener Event Events Queue Stack List Set Table Index Cache Buffer "
+    "Stream Reader Writer Parser Lexer Compiler Runtime Kernel Driver Device Network Protocol Socket Port Host Proxy Gateway Router Session Token Key Value Type Types String Integer Boolean Number Array File Files Folder Path Disk "
+    "Database Query Schema Record Records Row Column Report Reports Test Tests Testing Suite Release Version Update Upgrade Patch Fix Bug Issue Issues Feature Features Support Security Policy Update Notes Guide Manual Reference "
+    "Tutorial Example Examples Sample Code Source Script Command Console Terminal Window Windows Button Menu View Model Controller Template Style Theme Icon Image Video Audio Media Player Editor Studio Tool Tools Kit Platform Cloud "
+    "Web Site Page Browser Mobile Desktop Open General Public Private Internal External Global Local Remote Default Standard Common Core Base Data Time Date Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February "
+    "March April June July August September October November December".split()
+) - {"April", "June", "August", "Page"}
+_NOT_GIVEN = _THINGS | _STREETS | _SURNAMES_TOO
 # Cues that only people follow.
 _STRONG = tuple(c for c in _BEFORE if c.endswith("-by:")) + ("@author", "Author:", "author:", "Reported by", "Reviewed by")
 # Words before a family name that are no given name.
@@ -172,8 +181,8 @@ def _person(name: str, names: Names, cue: str = "") -> bool:
 _DIGITS = re.compile("|".join((r"\d[\d\W]{6,60}\d", *_ID_FORMS)))
 #: Documents, and partners, from which a cued given or family name counts without a cue.
 LEARNT = 2
-#: Characters around an anchor that an expanded item can span; longer than any item the parsers accept.
-REACH = 160
+#: Characters before a number, on its line, in which a label is taken for its label.
+LABEL_REACH = 48
 
 
 def _email_ok(text: str, m) -> bool:
@@ -188,6 +197,46 @@ def _email_ok(text: str, m) -> bool:
     return True
 
 
+def _expand(text: str, kind: str, anchors: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """The items that hold an anchor. Each line with an anchor is read once, from its start to its end, so an item is
+    never cut, and a long line with many anchors stays linear."""
+    pattern, i = (_EMAIL if kind == "email" else _ADDRESS), 0
+    anchors.sort()
+    while i < len(anchors):
+        lo, hi = text.rfind("\n", 0, anchors[i][0]) + 1, text.find("\n", anchors[i][1])
+        hi = len(text) if hi < 0 else hi
+        for m in pattern.finditer(text, lo, hi):
+            while i < len(anchors) and anchors[i][1] < m.start():
+                i += 1
+            if i < len(anchors) and anchors[i][0] < m.end() and (kind == "address" or _email_ok(text, m)):
+                e = m.end()
+                while text[e - 1] == " ":
+                    e -= 1
+                yield m.start(), e, kind
+        while i < len(anchors) and anchors[i][0] < hi:
+            i += 1
+        if i < len(anchors) and anchors[i][0] == hi:
+            i += 1
+
+
+def _name_start(text: str, end: int) -> int:
+    """Where the words that a person's name ending at ``end`` may be made of begin: capitalised ones, initials, particles."""
+    at = end
+    while at:
+        space = text.rfind(" ", 0, at - (text[at - 1] == " "))
+        space = max(space, text.rfind("\n", space + 1, at))
+        word = text[space + 1:at].strip(" ,")
+        if not word or not (word[0].isupper() or word in _PARTICLES):
+            break
+        at = space + 1
+        if space < 0 or text[space] == "\n":
+            break
+    return max(at, 0)
+
+
+_PARTICLES = {"von", "van", "de", "der", "den", "du", "da", "di", "la", "le", "al", "bin", "ter"}
+
+
 def _after_cue(text: str, s: int, e: int, word: str):
     """The match of a person behind the cue ``word`` at (s, e)."""
     if word[0].isalpha() and s and (text[s - 1].isalnum() or text[s - 1] in "@_-."):
@@ -211,7 +260,7 @@ def spans(text: str | None, names: Names | None = None) -> list[tuple[int, int,
     if not text or text.isspace():
         return []
     found: set[tuple[int, int, str]] = set()
-    done_to = {"email": -1, "address": -1}
+    anchored: dict[str, list[tuple[int, int]]] = {"email": [], "address": []}
     givens, cues, families, cued = [], [], [], set()
     names = names or _bundled()
     for end, (word, kinds) in names.anchors().iter(text):
@@ -223,20 +272,10 @@ def spans(text: str | None, names: Names | None = None) -> list[tuple[int, int,
                 families.append((start + 1, end + 1))
             elif kind in ("before", "after"):
                 cues.append((kind, start, end + 1, word))
-            elif end > done_to[kind]:
-                lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-                lo = max(lo, text.rfind("\n", lo, start) + 1)
-                pattern, stop = (_EMAIL, False) if kind == "email" else (_ADDRESS, True)
-                last = text.find("\n", end, hi)
-                for m in pattern.finditer(text, lo, last if last >= 0 else hi):
-                    if m.start() <= end and m.end() > start:
-                        if kind == "address" or _email_ok(text, m):
-                            e = m.end()
-                            while text[e - 1] == " ":
-                                e -= 1
-                            found.add((m.start(), e, kind))
-                            done_to[kind] = max(done_to[kind], e)
-                        break
+            else:
+                anchored[kind].append((start, end))
+    for kind, anchors in anchored.items():
+        found.update(_expand(text, kind, anchors))
     for d in _DIGITS.finditer(text):
         lo, end = max(0, d.start() - 6), min(len(text), d.end() + 40)
         lo, hi = max(lo, text.rfind("\n", lo, d.start()) + 1), text.find("\n", d.end(), end)
@@ -244,7 +283,7 @@ def spans(text: str | None, names: Names | None = None) -> list[tuple[int, int,
             for m in pattern.finditer(text, lo, end if hi < 0 else hi):
                 if m.start() > d.end():
                     break
-                before = text[max(0, m.start() - 48):m.start()]
+                before = text[max(0, m.start() - LABEL_REACH):m.start()]
                 if _NO_NUMBER.search(before[-14:]):
                     continue
                 v, n = m[0], sum(c.isdigit() for c in re.split(r" ?(?:ext|x)", m[0])[0])
@@ -260,21 +299,20 @@ def spans(text: str | None, names: Names | None = None) -> list[tuple[int, int,
             if m and word in ("As", "Dear", "ask", "To:", "user:") and not (_AFTER_NAME.match(text, m.end()) or m[0].split()[0].strip(",") in names.given):
                 m = None
         else:
-            line = text.rfind("\n", max(0, s - 61), s) + 1
+            base = _name_start(text, s)
             m = None
-            for c in _PERSON.finditer(text, max(line, s - 60), s):
+            for c in _PERSON.finditer(text, base, s):
                 if c.end() == s:
                     m = c
             if m is None:
-                c = re.search(rf"(?:{_W}, {_W}|{_W}(?: [{_U}]\.)* {_W}|[{_U}]\. {_W}|{_CAPS} {_CAPS})$", text[max(line, s - 60):s])
+                c = re.search(rf"(?:{_W}, {_W}|{_W}(?: [{_U}]\.)* {_W}|[{_U}]\. {_W}|{_CAPS} {_CAPS})$", text[base:s])
                 if c:
-                    base = max(line, s - 60)
                     found_at = (base + c.start(), s)
                     if _person(c[0], names, word) and not (found_at[0] and text[found_at[0] - 1].isalnum()) and (word != " said" or names.known(c[0])):
                         found.add((*found_at, "person"))
                         cued.add(c[0])
-            elif word != " wrote:" and word[0] == " " and not names.known(m[0]) and word in (" said", " reported", " suggested", " asked us"):
-                if not re.fullmatch(rf"[{_U}]\. {_W}|{_W}, {_W}|{_W} {_W}|{_CAPS} {_CAPS}", m[0]) or word != " asked us":
+            elif word != " wrote:" and word[0] == " " and not names.known(m[0]) and word in (" said", " reported", " suggested", " asked"):
+                if not re.fullmatch(rf"[{_U}]\. {_W}|{_W}, {_W}|{_W} {_W}|{_CAPS} {_CAPS}", m[0]) or word != " asked":
                     m = None
         if m and _person(m[0], names, word):
             found.add((m.start(), m.end(), "person"))
@@ -285,11 +323,11 @@ def spans(text: str | None, names: Names | None = None) -> list[tuple[int, int,
         upper = text[s:e].isupper()
         if text[s:e] not in names.given and not _AMBIGUOUS_NEXT.match(text, e) and not ((f := _FAMILY.match(text, e)) and f[0].split()[-1] in names.family):
             continue
-        back = re.search(rf"({_CAPS if upper else _W}), $", text[max(0, s - 40):s])
+        back = re.search(rf"({_CAPS if upper else _W}), $", text[_name_start(text, s):s])
         if back and back[1].lower() not in _GREETING and back[1] not in names.given:
             b = s - len(back[0])
-            if not (b and (text[b - 1].isalnum() or text[b - 1] in "_.@")) and not re.search(rf"(?:^|[^\w.]){_W} $", text[max(0, b - 30):b]):
-                if not re.match(rf" {_CAPS if upper else _W}", text[e:e + 40]):
+            if not (b and (text[b - 1].isalnum() or text[b - 1] in "_.@")) and not re.search(rf"(?:^|[^\w.]){_W} $", text[max(0, _name_start(text, b) - 1):b]):
+                if not (_CAPS_NEXT if upper else _W_NEXT).match(text, e):
                     found.add((b, e, "person"))
                     continue
         m = (re.compile(rf"(?: [{_U}]\.)* {_CAPS}(?!\w)") if upper else _FAMILY).match(text, e)
@@ -298,14 +336,14 @@ def spans(text: str | None, names: Names | None = None) -> list[tuple[int, int,
     for s, e in families:
         if e < len(text) and (text[e].isalnum() or text[e] in "_@+"):
             continue
-        m = _GIVEN_BEFORE.search(text, max(text.rfind("\n", 0, s) + 1, s - 60), s)
+        m = _GIVEN_BEFORE.search(text, _name_start(text, s), s)
         if m and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_.@+-")) and m[1].lower() not in _no_given() and _person(text[m.start():e], names):
             found.add((m.start(), e, "person"))
     for name in cued:
         for m in re.finditer(rf"(?<![\w.@+-]){re.escape(name)}(?![\w@])", text):
             found.add((m.start(), m.end(), "person"))
     for m in _LONE.finditer(text):
-        if names.known(m[1]) or re.match(rf"[{_U}]\.", m[1]) and re.search(r"(?:Regards|Cheers|Best|Thanks|Grüße|Cordialement|Saludos)[^\n]*\n\s*$", text[max(0, m.start(1) - 60):m.start(1)]):
+        if names.known(m[1]) or re.match(rf"[{_U}]\.", m[1]) and _CLOSING.search(_line_before(text, m.start(1))):
             found.add((m.start(1), m.end(1), "person"))
     out, at = [], -1
     for s, e, k in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
@@ -315,6 +353,18 @@ def spans(text: str | None, names: Names | None = None) -> list[tuple[int, int,
     return out
 
 
+_CLOSING = re.compile(r"(?:Regards|Cheers|Best|Thanks|Grüße|Cordialement|Saludos)")
+_CAPS_NEXT, _W_NEXT = re.compile(f" {_CAPS}"), re.compile(f" {_W}")
+
+
+def _line_before(text: str, at: int) -> str:
+    """The last line that isn't blank before the line of ``at``."""
+    end = text.rfind("\n", 0, at)
+    while end > 0 and text[end - 1].isspace():
+        end -= 1
+    return text[text.rfind("\n", 0, end) + 1:end] if end > 0 else ""
+
+
 _FAMILY = re.compile(rf"(?: [{_U}]\.)* {_PART}{_W}(?![{_U}{_L}0-9_])")
 _AFTER_NAME = re.compile(r" (?:said|wrote|asked|reported|suggested)|,?\s*\n")
 

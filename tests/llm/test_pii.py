@@ -62,3 +62,16 @@ ALONE = [
 @pytest.mark.parametrize("value,kind", ALONE)
 def test_each_form_alone(value, kind):
     assert [(k, s, e) for s, e, k in pii.spans(f"x: {value}\n")] == [(kind, 3, 3 + len(value))]
+
+
+@pytest.mark.parametrize("n", [1, 20, 160, 170, 500, 100_000])
+def test_values_of_any_length_are_whole(n):
+    mail = "a" * n + ".b@" + "c" * n + ".example.org"
+    text = f"see {mail} or ask"
+    assert {text[a:b] for a, b, k in pii.spans(text) if k == "email"} == {mail}
+    assert pii.spans("x" * n + f" Reviewed-by: Anna B{'b' * n}son")[-1][1:] == (len("x" * n + f" Reviewed-by: Anna B{'b' * n}son"), "person")
+
+
+def test_long_lines_stay_linear():
+    for line in ("x at y dot com ", "Calle Mayor 3 ", "Ann Smith wrote: ", "call +44 20 7946 0958 or "):
+        assert len(pii.spans(line * 5_000)) >= 1
