@@ -216,7 +216,10 @@ def test_updated_terms_equal_a_full_count(spark):
 
 # overlap
 
-def test_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("heavy,broadcast", [(64, 1000), (1, 1000), (1, 0)])
+def test_pairs_against_brute_force(spark, monkeypatch, heavy, broadcast):
+    monkeypatch.setattr(overlap, "HEAVY", heavy)
+    monkeypatch.setattr(overlap, "HEAVY_LINES", broadcast)
     r = random.Random(5)
     base = [[f"call{r.randrange(60)}(x{i});" for i in range(r.randrange(3, 25))] for _ in range(12)]
     rows = []
@@ -226,6 +229,8 @@ def test_pairs_against_brute_force(spark):
             lines[r.randrange(len(lines))] = f"new{r.randrange(40)}();"
         r.shuffle(lines)
         rows.append((r.choice(["train", "test", "valid"]), f"p{i % 9}", f"f{i}.java", "package p;\n// c\n" + r.choice(["\n", "\n\n  "]).join(lines) + "\n"))
+    for i in range(150):  # the same few lines in many mixes
+        rows.append((r.choice(["train", "test", "valid"]), f"q{i % 7}", f"g{i}.java", "".join(f"common{k}();\n" * r.randrange(0, 8) for k in range(5))))
     rows += [("train", "p", "x.java", None), ("test", "p", "x.java", ""), ("test", "p", "y.java", "// only\n"), rows[0], rows[1]]
     bag = {x[:3]: collections.Counter(overlap.code_lines(x[3], "java")) for x in rows if x[3]}
     want = set()
@@ -281,3 +286,28 @@ def test_every_query_has_its_columns(spark):
     for name, names in columns.items():
         assert QUERIES[name](spark, SMALL).columns == names.split()
     assert set(SQL) <= set(QUERIES)
+
+
+def test_kind_of_a_file_with_several_texts(spark):
+    vendors = spark.createDataFrame([("quill", "https://h/o/quill", "io.quill")], "name string, url string, package string")
+    marked = "// Generated by maker. Do not edit.\nclass A { int x; }"
+    rows = [("p", "A.java", marked), ("p", "A.java", "package io.quill.a;\nclass A { }"), ("p", "B.java", marked), ("p", "B.java", "class B { void f() { int hand = 1; } }")]
+    found = handwritten.classify(spark.createDataFrame(rows, "project string, file string, text string"), vendors)
+    assert {(r.file, r.kind) for r in found.collect()} == {("A.java", "vendored"), ("B.java", "generated")}
+
+
+def test_names_of_a_template_have_a_low_diversity():
+    import random
+
+    rng = random.Random(3)
+    words = ["order", "price", "user", "index", "file", "read", "write", "load", "queue", "total", "split", "merge", "first", "cache", "token", "node", "left", "count", "state", "page"]
+    hand = [f"class A{i} {{\n" + "\n".join(f"int {rng.choice(words)}{rng.choice(words).title()}{rng.choice(words).title()} = {rng.choice(words)}({rng.choice(words)});" for _ in range(12)) + " }" for i in range(40)]
+    models = handwritten.train([("java", t) for t in hand])
+    template = "class A { " + " ".join(f"int getField{i}() {{ return field{i} + {'x' * i}; }}" for i in range(1, 40)) + " }"
+    assert handwritten.kind_of("a/A.java", template, models, ((), ())) == "generated"
+    low = models["java"][3]
+    assert all(handwritten.diversity(handwritten.names_of(t, "java")) > low for t in hand) and handwritten.diversity(handwritten.names_of(template, "java")) < low
+
+
+def test_last_comment_of_any_length():
+    assert handwritten.edge_comments("class A { }\n/* " + "x " * 5000 + "Generated by y */").endswith("by y */")
