@@ -1,7 +1,7 @@
 """Same or near-same files across splits.
 
-Method: edit-distance segment join. A file is the string of its code lines in a fixed order: rare
-lines first, told by a fixed-size frequency sketch over the whole corpus, then by hash. As lines may
+Method: edit-distance segment join. A file is the string of its code lines in a fixed order: lines in
+at most ``HEAVY`` classes of files by their hash, then the others, the rarest first, counted exactly. As lines may
 agree in any order, sorting loses nothing, and two files agree in four fifths of their lines iff the
 longer string becomes the shorter by at most k deletions and insertions with k as ``misses`` says. An
 evaluation string is cut into k+1 segments, the first k of one line each; k edits leave one of them whole,
@@ -13,6 +13,9 @@ A code line is a statement or heading (Java, JavaScript: text between ``;``, ``{
 (Python, XML, JSON) without white space and comments; package and import lines and the XML
 declaration are left out, layout therefore too.
 
+A line in few classes makes few pairs. A heavy line stands among a file's first ones only where the file has too few
+others; such keys are divided by the length of the files, as lengths that differ by more than a fifth can't agree.
+
 Files with equal strings are one class: classes are joined, pairs of files expanded at the end.
 Defined results: null, empty and code-less files pair with nothing; a file in several splits under one
 name isn't paired with itself; repeated rows count once.
@@ -32,8 +35,10 @@ from tesserae.plans.staging import stage
 
 #: Share of the code lines of the longer file that must agree, as a fraction (parts, of).
 AGREE = (4, 5)
-#: Counters of the frequency sketch: its size is fixed, so is what is broadcast (4 bytes each). Counts only order lines; collisions cost candidates, never pairs.
-SKETCH = 1 << 19
+#: Classes from which a line is heavy.
+HEAVY = 64
+#: Heavy lines that are broadcast (16 bytes each); more of them are joined instead.
+HEAVY_LINES = 2_000_000
 
 _STRIP = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|/\*(?s:.*?)\*/|//[^\n]*")
 _STRIP_PY = re.compile(r"\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|#[^\n]*")
@@ -89,53 +94,66 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["split", "project", "file", "class", "bag"])
 
 
-def _sketch(classes: DataFrame):
-    """How many classes have a line, by ``SKETCH`` counters; partial sums are made where the rows are."""
-    import numpy as np
-
-    size = SKETCH
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(size), minlength=size)
-        at = np.flatnonzero(total > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+_HEADS = "class binary, line bigint, pos int, n int, train boolean, eval boolean, weight bigint"
 
-    sums = classes.select("bag").mapInArrow(partial, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    out = np.ones(size, dtype=np.uint32)
-    out[sums["at"].to_numpy()] = np.minimum(sums["n"].to_numpy(), 2**32 - 1)
-    return out
 
-
-def class_pairs(classes: DataFrame) -> DataFrame:
-    """(eval_class, train_class) of ``classes`` (class, bag, train, eval) that agree. Equal classes included."""
+def _heads_by_broadcast(classes: DataFrame, heavy: DataFrame) -> DataFrame:
     import numpy as np
 
-    spark, size = classes.sparkSession, SKETCH
-    counts = spark.sparkContext.broadcast(_sketch(classes))
+    table = heavy.orderBy("line").toArrow()
+    shared = classes.sparkSession.sparkContext.broadcast((table["line"].to_numpy(), table["weight"].to_numpy()))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counts.value
+        lines, weights = shared.value
         for b in batches:
             ids, bags, train, evl = b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()
             flat, offsets = bags.flatten().to_numpy(), bags.offsets.to_numpy()
             offsets = offsets - offsets[0]
-            out: list[list] = [[], [], [], [], [], []]
+            weight = np.zeros(len(flat), dtype=np.int64)
+            if len(lines):
+                at = np.minimum(np.searchsorted(lines, flat), len(lines) - 1)
+                weight = np.where(lines[at] == flat, weights[at], 0)
+            out: list[list] = [[], [], [], [], [], [], []]
             for i, cid in enumerate(ids):
-                a = flat[offsets[i]:offsets[i + 1]]
+                a, w = flat[offsets[i]:offsets[i + 1]], weight[offsets[i]:offsets[i + 1]]
                 n = len(a)
                 m = misses(n) + 1
-                order = np.lexsort((a, count[a.view(np.uint64) % np.uint64(size)]))[:m]
-                for column, v in zip(out, ([cid] * m, a[order].tolist(), range(m), [n] * m, [train[i]] * m, [evl[i]] * m)):
+                order = np.lexsort((a, w))[:m]
+                for column, v in zip(out, ([cid] * m, a[order].tolist(), range(m), [n] * m, [train[i]] * m, [evl[i]] * m, w[order].tolist())):
                     column.extend(v)
-            types = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["class", "line", "pos", "n", "train", "eval"])
+            types = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["class", "line", "pos", "n", "train", "eval", "weight"])
+
+    return classes.select("class", "bag", "train", "eval").mapInArrow(head, _HEADS)
 
-    heads = stage(classes.select("class", "bag", "train", "eval").mapInArrow(head, "class binary, line bigint, pos int, n int, train boolean, eval boolean"), "overlap-heads")
-    e, t = heads.where("eval").alias("e"), heads.where("train").alias("t")
+
+def _heads_by_join(classes: DataFrame, heavy: DataFrame) -> DataFrame:
+    n = F.size("bag")
+    lines = classes.select("class", "train", "eval", n.alias("n"), F.explode("bag").alias("line")).join(heavy, "line", "left")
+    ordered = lines.groupBy("class").agg(
+        F.first("train").alias("train"), F.first("eval").alias("eval"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), "line"))).alias("lines")
+    )
+    kept = F.col("n") - F.ceil(F.col("n") * AGREE[0] / AGREE[1]).cast("int") + 1
+    each = ordered.select("class", "train", "eval", "n", F.posexplode(F.slice("lines", F.lit(1), kept)).alias("pos", "line"))
+    return each.select("class", F.col("line.line").alias("line"), "pos", "n", "train", "eval", F.col("line.weight").cast("bigint").alias("weight"))
+
+
+def first_lines(classes: DataFrame) -> DataFrame:
+    """The first k+1 lines of each class (class, line, pos, n, train, eval, weight); weight is the number of classes with a heavy line, else 0."""
+    counts = classes.select(F.explode("bag").alias("line")).groupBy("line").agg(F.count("*").alias("weight"))
+    heavy = stage(counts.where(F.col("weight") > HEAVY), "overlap-heavy")
+    return (_heads_by_broadcast if heavy.count() <= HEAVY_LINES else _heads_by_join)(classes, heavy)
+
+
+def class_pairs(classes: DataFrame) -> DataFrame:
+    """(eval_class, train_class) of ``classes`` (class, bag, train, eval) that agree. Equal classes included."""
+    # a base above 5/4 puts lengths that can agree into the same or neighbouring steps
+    step = F.when(F.col("weight") > 0, F.floor(F.log(1.3, "n"))).otherwise(-9).cast("int")
+    heads = stage(first_lines(classes).withColumn("step", step), "overlap-heads")
+    near_steps = F.when(F.col("weight") > 0, F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).otherwise(F.array("step"))
+    e, t = heads.where("eval").withColumn("step", F.explode(near_steps)).alias("e"), heads.where("train").alias("t")
     need = F.ceil(F.greatest("e.n", "t.n") * AGREE[0] / AGREE[1])
-    near = e.join(t, F.col("e.line") == F.col("t.line")).where(
+    near = e.join(t, (F.col("e.line") == F.col("t.line")) & (F.col("e.step") == F.col("t.step"))).where(
         (F.least("e.n", "t.n") >= need) & (F.least(F.col("e.n") - F.col("e.pos"), F.col("t.n") - F.col("t.pos")) + F.least("e.pos", "t.pos") >= need) & (F.col("e.class") != F.col("t.class"))
     )
     candidates = near.select(F.col("e.class").alias("eval_class"), F.col("t.class").alias("train_class")).distinct()
