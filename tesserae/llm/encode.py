@@ -1,12 +1,12 @@
 """Encoding of the whole corpus with a public tokenizer.
 
-Method: a bounded-lookahead streaming transducer. Text is cut where no pre-token can span the cut (in
-front of white space after a sign, or between letters or digits and another class), which needs one
-character of lookahead; pieces between cuts go through the compiled merge list. A piece without a cut
-longer than ``PIECE_BYTES`` is read by an incremental automaton: for each byte position the last token of the
-prefix's encoding is found from the vocabulary and a pair test, and a token is emitted once every
-position a later token can start from agrees on it. Memory doesn't grow with the text. Decoding is an
-incremental byte-to-text machine.
+Method: a streaming transducer with bounded lookahead. A text is read in windows and cut into pre-tokens; a
+pre-token is final once ``AHEAD`` characters behind it are known. Each pre-token goes through an incremental
+automaton built from the merge list: at each byte it finds the last token of the encoding of the bytes so far, from
+the vocabulary's tokens that end there and a test of the pair with the token before, and it emits a token once
+every place from which a later token can reach back (no further than the longest token of the merge list) agrees
+on it. So a pre-token may be of any length, runs of blanks too, and memory doesn't grow with the text. What short
+pre-tokens give is remembered. Decoding is an incremental byte-to-text machine.
 
 Defined results: empty and null texts have the ids ``[]``; strings of special tokens are ordinary text.
 """
@@ -18,6 +18,7 @@ import codecs
 import os
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -27,65 +28,91 @@ from pyspark.sql import DataFrame
 FOLDER = os.environ.get("TESSERAE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters read at a time, and bytes of a piece without a cut from which the automaton takes over.
-WINDOW, PIECE_BYTES = 1 << 16, 1 << 16
-_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=[\p{L}])(?=[^\p{L}\s])|(?<=[\p{N}])(?=[^\p{N}\s])")
+#: Characters read at a time, and characters of a pre-token from which it is passed on in parts.
+WINDOW = PIECE = 1 << 16
+#: Characters that must be known behind a pre-token: an apostrophe's longest ending, and one more.
+AHEAD = 4
+#: Pre-tokens and pairs remembered at most; only speed depends on them.
+REMEMBERED = 300_000
 
-
-@cache
-def encoding(name: str = "byte_bpe_50k", folder: str = FOLDER):
-    import tiktoken
-
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+_PRE_TOKEN = regex.compile(PATTERN)
+_REST_OF = [(regex.compile(c), regex.compile(f"{c}*")) for c in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")]
+_BLANKS = regex.compile(r"\s*")
 
 
 class Automaton:
-    """Incremental byte-pair encoding of one pre-token of any length."""
+    """The merge list as a machine that reads bytes and emits ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import ahocorasick
 
-    def __init__(self, enc):
-        self.ranks = enc._mergeable_ranks
-        self.piece = enc._encode_single_piece
-        self.longest = max(map(len, self.ranks))
+        self.ranks, self.longest = ranks, max(map(len, ranks))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.known: dict[str, list[int]] = {}
+        self.ends = ahocorasick.Automaton()
+        for t in ranks:
+            self.ends.add_word(t.decode("latin-1"), t)
+        self.ends.make_automaton()
+
+    def merged(self, data: bytes) -> list[bytes]:
+        """Byte-pair encoding of a few bytes as the merge list defines it: the lowest rank first."""
+        get, never = self.ranks.get, len(self.ranks)
+        parts = [data[i:i + 1] for i in range(len(data))]
+        rank = [get(data[i:i + 2], never) for i in range(len(data) - 1)]
+        while rank:
+            low = min(rank)
+            if low == never:
+                break
+            i = rank.index(low)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del rank[i]
+            if i:
+                rank[i - 1] = get(parts[i - 1] + parts[i], never)
+            if i < len(rank):
+                rank[i] = get(parts[i] + parts[i + 1], never)
+        return parts
 
     def fits(self, a: bytes, b: bytes) -> bool:
         """Whether ``a`` followed by ``b`` stays these two tokens."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
-            got = self.pairs[a, b] = list(self.piece(a + b)) == [self.ranks[a], self.ranks[b]]
+            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return got
 
     def run(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        ranks, longest = self.ranks, self.longest
-        data, base = b"", 0  # data holds the bytes from position base on
-        last: dict[int, bytes] = {0: b""}
-        at = done = 0
+        """Ids of one pre-token whose bytes come in chunks."""
+        ranks, fits, longest = self.ranks, self.fits, self.longest
+        data, base, done = b"", 0, 0  # data holds the bytes from position base on
+        last: dict[int, bytes] = {0: b""}  # position -> last token of the encoding of the bytes before it
+        at = 0
         for chunk in chunks:
-            data += chunk
-            end = base + len(data)
-            while at < end:
-                at += 1
-                for n in range(min(longest, at - done), 0, -1):
-                    t = data[at - n - base:at - base]
-                    if t in ranks and at - n in last and (at - n == done and not last[done] or not last[at - n] or self.fits(last[at - n], t)):
-                        last[at] = t
-                        break
-                if not at % 512:
-                    ids, done = self._stable(last, done, at)
-                    yield from ids
-                    data, base = data[done - base:], done
-        path, p = [], at
+            for i in range(0, len(chunk), 1024):
+                data += chunk[i:i + 1024]
+                start = max(at - longest - base, 0)
+                for end, t in self.ends.iter(data.decode("latin-1"), start):
+                    end += base + 1
+                    if end > at and end not in last:
+                        begin = end - len(t)
+                        before = last.get(begin) if begin >= done else None
+                        if before is not None and (not before or fits(before, t)):
+                            last[end] = t
+                at = base + len(data)
+                ids, done = self._stable(last, done, at)
+                yield from ids
+                data, base = data[done - base:], done
+        yield from self._path(last, done, at)
+
+    def _path(self, last: dict[int, bytes], done: int, p: int) -> list[int]:
+        path = []
         while p > done:
-            path.append(ranks[last[p]])
+            path.append(self.ranks[last[p]])
             p -= len(last[p])
-        yield from reversed(path)
+        return path[::-1]
 
     def _stable(self, last: dict[int, bytes], done: int, at: int) -> tuple[list[int], int]:
-        """Tokens all live positions agree on, from ``done`` on; forgets what lies before their end."""
+        """Tokens all places that later tokens can start from agree on, from ``done`` on; forgets what lies before their end."""
         live = {p for p in range(max(done, at - self.longest), at + 1) if p in last}
         while len(live) > 1:
             p = max(live)
@@ -94,67 +121,111 @@ class Automaton:
             live.discard(p)
             live.add(p - len(last[p]))
         stop = max(min(live), done)
-        path, p = [], stop
-        while p > done:
-            path.append(self.ranks[last[p]])
-            p -= len(last[p])
-        for q in [q for q in last if q < stop]:
-            del last[q]
-        return path[::-1], stop
-
-
-def stream(windows: Iterable[str], enc) -> Iterator[int]:
-    """Ids of a text that comes in windows; holds one window and the text since the last cut."""
-    held: list[str] = []
-    size = 0
-    for w in windows:
-        held.append(w)
-        size += len(w)
-        text = "".join(held)
-        cut = None
-        for m in _CUT.finditer(text, max(0, len(text) - len(w) - 1), len(text) - 1):
-            cut = m.start()
-        if cut:
-            yield from enc.encode_ordinary(text[:cut])
-            held, size = [text[cut:]], len(text) - cut
-        elif size > PIECE_BYTES and (m := regex.fullmatch(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)", text)) and not text.startswith("'"):
-            rest = yield from _long(text, windows, enc)
-            held, size = [rest], len(rest)
-    yield from enc.encode_ordinary("".join(held))
-
-
-def _long(text: str, windows: Iterator[str], enc) -> Iterator[int]:
-    """Feed the automaton until the pre-token ends; returns the text behind it."""
-    kind = next(k for k in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]") if regex.match(k, text[-1]))
-    rest = ""
-
-    def pieces():
-        nonlocal rest
-        yield text.encode()
-        for w in windows:
-            m = regex.match(f"{kind}*", w)
-            yield m[0].encode()
-            if m.end() < len(w):
-                rest = w[m.end():]
+        ids = self._path(last, done, stop)
+        if stop > done:
+            for q in [q for q in last if q < stop]:
+                del last[q]
+            last[stop] = last[stop]
+        return ids, stop
+
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one short pre-token."""
+        ids = self.known.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "replace")
+            # what lies within the reach of one token can't become stable before its end
+            ids = [self.ranks[t] for t in self.merged(raw)] if len(raw) <= self.longest else list(self.run((raw,)))
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self.known[piece] = ids
+        return ids
+
+    def pieces(self, pieces: list[str]) -> list[int]:
+        """Ids of short pre-tokens that follow each other."""
+        get, out = self.known.get, []
+        for p in pieces:
+            out += get(p) or self.piece(p)
+        return out
+
+    def encode(self, windows: Iterable[str]) -> Iterator[int]:
+        """Ids of a text that comes in windows."""
+        windows, held = iter(windows), ""
+        w = next(windows, "")
+        while w:
+            held += w
+            w = next(windows, "")
+            if not w:
+                break
+            sure, at, final = len(held) - AHEAD, 0, []
+            for m in _PRE_TOKEN.finditer(held):
+                if m.end() > sure:
+                    break
+                final.append(m[0])
+                at = m.end()
+            yield from self.pieces(final)
+            held = held[at:]
+            if len(held) > PIECE:
+                held = yield from self._long(held, chain((w,), windows))
+                w = next(windows, "")
+        if len(held) > PIECE and (m := _PRE_TOKEN.match(held)).end() > PIECE:
+            held = yield from self._long(held, windows)
+        yield from self.pieces(_PRE_TOKEN.findall(held))
+
+    def _long(self, held: str, windows: Iterator[str]) -> Iterator[int]:
+        """Feed the first, long pre-token of ``held`` to the automaton until it ends; returns the text behind it."""
+        rest = ""
+
+        def parts():
+            nonlocal rest
+            m = _PRE_TOKEN.match(held)
+            if m[0][-1].isspace():  # the last blank of a run belongs to what follows
+                kept = held[m.end() - 1:]
+                yield held[:m.end() - 1].encode()
+                if not kept.isspace():
+                    rest = kept
+                    return
+                for w in windows:
+                    n = _BLANKS.match(w).end()
+                    text = kept + w[:n]
+                    if n < len(w):
+                        yield text[:-1].encode()
+                        rest = text[-1] + w[n:]
+                        return
+                    yield text[:-1].encode()
+                    kept = text[-1]
+                yield kept.encode()
                 return
+            more = next(rx for one, rx in _REST_OF if one.match(m[0][-1]))
+            yield m[0].encode()
+            rest = held[m.end():]
+            while not rest and (w := next(windows, None)) is not None:
+                n = more.match(w).end()
+                yield w[:n].encode()
+                rest = w[n:]
 
-    yield from Automaton(enc).run(pieces())
-    return rest
+        yield from self.run(parts())
+        return rest
+
+
+@cache
+def encoding(name: str = "byte_bpe_50k", folder: str = FOLDER) -> Automaton:
+    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+        return Automaton({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-def encode(text: str | None, enc) -> list[int]:
+def encode(text: str | None, enc: Automaton) -> list[int]:
     if not text:
         return []
-    if len(text) <= WINDOW:
-        return enc.encode_ordinary(text)
-    return list(stream(iter([text[i:i + WINDOW] for i in range(0, len(text), WINDOW)]), enc))
+    return list(enc.encode(text[i:i + WINDOW] for i in range(0, len(text), WINDOW)))
 
 
-def decode(ids: Iterable[int], enc) -> Iterator[str]:
+def decode(ids: Iterable[int], enc: Automaton) -> Iterator[str]:
     """Text of ids as it becomes certain; the pieces add up to the text."""
+    if not hasattr(enc, "tokens"):
+        enc.tokens = {i: t for t, i in enc.ranks.items()}
     machine = codecs.getincrementaldecoder("utf-8")("replace")
     for i in ids:
-        out = machine.decode(enc.decode_single_token_bytes(i))
+        out = machine.decode(enc.tokens[i])
         if out:
             yield out
     out = machine.decode(b"", True)

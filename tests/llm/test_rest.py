@@ -247,13 +247,34 @@ def test_pairs_against_brute_force(spark, monkeypatch, heavy, broadcast):
 
 # encoding and packing
 
-def test_streamed_ids_are_the_ids():
-    enc, r = encode.encoding(), random.Random(1)
-    text = "".join(r.choice("ab c1'\n.é日") for _ in range(150_000)) + "x" * 150_000 + " y " + "=" * 100_000 + "'s 12"
-    ids = list(encode.stream(iter([text[i:i + 7001] for i in range(0, len(text), 7001)]), enc))
-    assert ids == enc.encode_ordinary(text) == encode.encode(text, enc) and "".join(encode.decode(ids, enc)) == text
+def judge():
+    import tiktoken
+
+    return tiktoken.Encoding("judge", pat_str=encode.PATTERN, mergeable_ranks=encode.encoding().ranks, special_tokens={}).encode_ordinary
+
+
+def test_streamed_ids_are_the_ids(monkeypatch):
+    enc, r, ids_of = encode.encoding(), random.Random(1), judge()
+    for size in (64, 1 << 16):
+        monkeypatch.setattr(encode, "WINDOW", size)
+        monkeypatch.setattr(encode, "PIECE", size)
+        for alphabet in (" \n", "a", "ab '", "'a", "aé 1!", "日本 ", "\t\n x", "=-", "s'tll ", "\u0301e", "😀a", "etaoin", "012", "\xa0 a"):
+            for _ in range(12):
+                text = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 700)))
+                ids = encode.encode(text, enc)
+                assert ids == ids_of(text) and "".join(encode.decode(ids, enc)) == text
     raw = "".join(r.choice("etaoin") for _ in range(20_000)).encode()
-    assert list(encode.Automaton(enc).run([raw[i:i + 333] for i in range(0, len(raw), 333)])) == list(enc._encode_single_piece(raw))
+    assert list(enc.run([raw[i:i + 333] for i in range(0, len(raw), 333)])) == list(enc.run([raw])) == ids_of(raw.decode())
+
+
+def test_long_runs_need_no_memory_of_their_size():
+    enc, ids_of = encode.encoding(), judge()
+    for text in (" " * 300_000, "'a" * 100_000, "a" * 300_000, "\n" * 200_000 + "x", " " * 200_000 + "x", "é" * 100_000):
+        assert encode.encode(text, enc) == ids_of(text)
+
+
+def test_empty_and_odd_texts():
+    enc = encode.encoding()
     assert encode.encode(None, enc) == encode.encode("", enc) == []
 
 
