@@ -218,3 +218,25 @@ def prediction_context(tokens: Column, length: int, backwards: bool = False) ->
     t = F.reverse(tokens) if backwards else tokens
     n = F.least(F.size(t), F.lit(length))
     return F.slice(t, F.size(t) - n + 1, n)
+
+
+def replace_segment(tokens: Column, start: Column, end: Column, new: Column) -> Column:
+    """``tokens`` with the positions from ``start`` to before ``end`` replaced by ``new``."""
+    return F.concat(F.slice(tokens, 1, start), new, F.slice(tokens, end + 1, F.greatest(F.size(tokens) - end, F.lit(0))))
+
+
+def joined(tokens: Column) -> Column:
+    """Tokens for a reader, a blank between them."""
+    return F.array_join(tokens, " ")
+
+
+def without_duplicates(tokens: Column) -> Column:
+    """Each token once, in the order of its first place."""
+    return F.array_distinct(tokens)
+
+
+def checked_form(form: Column) -> Column:
+    """A word's canonic form; an empty one, or one that is or begins in upper case, is an error."""
+    upper = lambda c: (c == F.upper(c)) & (c != F.lower(c))
+    first = F.substring(form, 1, 1)
+    return F.when(form == "", F.raise_error(F.lit("a word has a sign at least"))).when(upper(form) | upper(first), F.raise_error(F.concat(F.lit("no canonic form: "), form))).otherwise(form)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import markers as M
 from tesserae.functions import text
 
-from . import sampling
+from . import fractions, sampling, vocab
 
 CONTEXT = 1000
 KINDS = ("location", "level", "level_binary")
@@ -69,3 +69,24 @@ def cases(rendered: DataFrame, key: str, kind: str, length: int = CONTEXT, seed:
 def training_rows(case_rows: DataFrame, ignored_groups: DataFrame, group: str) -> DataFrame:
     """Cases with a label, without the ignored groups."""
     return case_rows.where("label is not null and label <> ''").join(ignored_groups.select(group), group, "left_anti")
+
+
+def batches(rows: DataFrame, key: str, tokens: str, size: int) -> DataFrame:
+    """(key, tokens, batch, width): rows in batches of ``size`` of about equal length, the shortest first, each padded on the right to its batch's longest."""
+    r = vocab.ranked(rows.select(key, tokens, F.size(tokens).alias("n")), F.asc("n"), F.asc(key), name="place").withColumn("batch", F.floor(F.col("place") / size))
+    width = r.groupBy("batch").agg(F.max("n").alias("width"))
+    padded = F.concat(F.col(tokens), F.array_repeat(F.lit(M.PAD), F.col("width") - F.col("n")))
+    return r.join(width, "batch").select(key, padded.alias(tokens), "batch", "width")
+
+
+def sets(rows: DataFrame, split: str = "split") -> dict[str, DataFrame]:
+    """The training and validation rows; test rows belong to neither."""
+    return {name: rows.where(F.col(split) == name) for name in ("train", "valid")}
+
+
+def scanned(case_rows: DataFrame, ignored_groups: DataFrame, group: str, percent: float = 100, start: float = 0) -> DataFrame:
+    """Labelled cases of a fraction of the groups (chunk numbers lead their names), without the ignored ones; no case at all is an error."""
+    rows = training_rows(fractions.in_fraction(case_rows, fractions.chunk_of(F.col(group)), percent, start), ignored_groups, group)
+    if rows.isEmpty():
+        raise ValueError("no cases")
+    return rows

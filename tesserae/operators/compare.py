@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Lists that are compared at most; their names are broadcast, and each meets each.
+MOST_LISTS = 2_000
+
+
 def vectors(a: DataFrame, b: DataFrame) -> DataFrame:
     """(left, right, a, b): frequencies of each pair in two lists, 0 where it is missing."""
     x, y = a.select("left", "right", F.col("freq").alias("a")), b.select("left", "right", F.col("freq").alias("b"))
@@ -19,6 +23,8 @@ def correlation(a: DataFrame, b: DataFrame) -> DataFrame:
 def overlap_matrix(lists: DataFrame, name: str = "list") -> DataFrame:
     """(list_a, list_b, common, rate): shared pairs of every two lists against the smaller list. The lists meet on their pairs, by an equi-join; empty meetings are filled in over the few list names."""
     sizes = lists.groupBy(name).agg(F.count("*").alias("n"))
+    if sizes.limit(MOST_LISTS + 1).count() > MOST_LISTS:
+        raise ValueError(f"more than {MOST_LISTS} lists: a matrix of them is no report")
     a, b = lists.select(F.col(name).alias("list_a"), "left", "right"), lists.select(F.col(name).alias("list_b"), "left", "right")
     common = a.join(b, ["left", "right"]).groupBy("list_a", "list_b").agg(F.count("*").alias("common"))
     every = sizes.select(F.col(name).alias("list_a"), F.col("n").alias("na")).join(F.broadcast(sizes.select(F.col(name).alias("list_b"), F.col("n").alias("nb"))))

@@ -40,3 +40,28 @@ def threshold_metrics(tagged: DataFrame, grid: DataFrame) -> DataFrame:
     n = tagged.join(g).groupBy("id").agg(F.count_if(hit & F.col("noneng")).alias("tp"), F.count_if(hit).alias("selected"), F.count_if(F.col("noneng")).alias("relevant"))
     p, r = F.coalesce(F.try_divide("tp", "selected"), F.lit(0.0)), F.coalesce(F.try_divide("tp", "relevant"), F.lit(0.0))
     return n.select("id", "tp", "selected", "relevant", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round((p + r) / 2, 6).alias("metric"))
+
+
+#: The three readings of a file, by the contexts of the words that count (null: code).
+CONFIGURATIONS = {"code": (None,), "code_str": (None, "string"), "code_str_com": (None, "string", "comment")}
+
+
+def by_context(tokens: DataFrame, *by: str) -> DataFrame:
+    """Words, distinct words, foreign ones and their shares per group of code alone, with strings, and with comments too,
+    from (by..., token, ctx, foreign), in one pass: a word is counted once a group and context, then once a group with the contexts it stands in."""
+    each = tokens.groupBy(*by, "token").agg(
+        F.first("foreign").alias("foreign"), F.count_if(F.col("ctx").isNull()).alias("c0"), F.count_if(F.col("ctx") == "string").alias("c1"), F.count_if(F.col("ctx") == "comment").alias("c2")
+    )
+    out, names = [], []
+    for i, name in enumerate(CONFIGURATIONS):
+        n = sum((F.col(f"c{k}") for k in range(1, i + 1)), F.col("c0"))
+        bad = F.coalesce(F.col("foreign"), F.lit(False))
+        out += [
+            F.sum(n).alias(f"{name}_total"), F.count_if(n > 0).alias(f"{name}_total_uq"), F.sum(F.when(bad, n).otherwise(0)).alias(f"{name}_non_eng"), F.count_if(bad & (n > 0)).alias(f"{name}_non_eng_uq"),
+        ]
+        names.append(name)
+    rows = each.groupBy(*by).agg(*out)
+    for name in names:
+        for end in ("", "_uq"):
+            rows = rows.withColumn(f"{name}_percent{end}", F.round(F.coalesce(F.try_divide(f"{name}_non_eng{end}", f"{name}_total{end}"), F.lit(0.0)), 6))
+    return rows

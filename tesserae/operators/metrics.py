@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +74,45 @@ def neural_cache(df: DataFrame, order: str, hidden: str, target: str, window: in
     w = F.exp(theta * dot)
     j = now.join(past, "i").select("t", "y", "yi", w.alias("w"))
     return j.groupBy("t").agg(F.round(F.sum(F.when(F.col("y") == F.col("yi"), F.col("w")).otherwise(0.0)) / F.sum("w"), 6).alias("cache"))
+
+
+def top_of(probabilities: Column, k: int) -> Column:
+    """The ``k`` largest of an array as (p, index), the largest first, ties by index."""
+    ranked = F.array_sort(F.transform(probabilities, lambda p, i: F.struct((-p.cast("double")).alias("n"), i.alias("index"))))
+    return F.transform(F.slice(ranked, 1, k), lambda x: F.struct((-x["n"]).alias("p"), x["index"].alias("index")))
+
+
+def mixed(cache: Column, model: Column, share: float) -> Column:
+    """Probability of a cache and a model together, ``share`` of the cache."""
+    return share * cache + (1 - share) * model
+
+
+def parsed_top_k(metric: str) -> tuple[list[int], str | None]:
+    """(ranks, category) of a metric's name ``topk_<k>_<k>..._cat_<category>``; the category may be missing."""
+    head, _, category = metric.partition("_cat_")
+    name, *ks = head.split("_")
+    if name != "topk" or not ks or not all(k.isdigit() for k in ks):
+        raise ValueError(f"no such metric: {metric}")
+    return [int(k) for k in ks], category or None
+
+
+def top_k_of(df: DataFrame, metric: str, rank: str, category: str) -> DataFrame:
+    """Top-k accuracy by a metric's name: of the rows of its category, or of all."""
+    ks, wanted = parsed_top_k(metric)
+    rows = df if wanted is None else df.where(F.col(category) == wanted)
+    return rows.agg(*(F.round(F.avg((F.col(rank) <= k).cast("int")), 6).alias(f"top_{k}") for k in ks))
+
+
+def profile(df: DataFrame, step: str, seconds: str) -> DataFrame:
+    """Calls, longest and mean time of each step."""
+    return df.groupBy(step).agg(F.count("*").alias("calls"), F.max(seconds).alias("longest"), F.round(F.avg(seconds), 6).alias("mean"))
+
+
+def losses(df: DataFrame, key: str, tokens: str, load: Callable[[], Callable[[list[list[str]]], list[list[float]]]]) -> DataFrame:
+    """(key, losses): the loss of each token by a model, batch by batch; ``load`` makes the model once a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model(b.column(1).to_pylist()), pa.list_(pa.float64()))], [key, "losses"])
+
+    return df.select(key, tokens).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, losses array<double>")

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from . import sampling
 
 
+#: Values of one variable at most: they are broadcast.
+MOST_VALUES = 100_000
+
+
 @dataclass(frozen=True)
 class Variable:
     """Values from ``start`` below ``end`` by adding (``plus``) or multiplying (``mult``) with ``step``."""
@@ -31,18 +35,20 @@ class Variable:
 
 
 def counts(variables: list[Variable], total: float) -> dict[str, int]:
-    """How many values of each variable make about ``total`` combinations: all are thinned by one ratio, and each rounding is made up for by the next."""
+    """How many values of each variable make about ``total`` combinations.
+
+    Starting from all values, the variable that keeps the largest part of its values gives one up, until the product
+    isn't above ``total``; the last step is taken back if the product before it was nearer."""
     full = {v.name: v.count() for v in variables}
-    ratio = (math.prod(full.values()) / total) ** (1 / len(full))
-    want = got = 1.0
-    out = {}
-    for name, n in full.items():
-        want *= n / ratio
-        up, down = math.ceil(want / got), math.floor(want / got)
-        out[name] = max(1, up if abs(got * up - want) < abs(got * down - want) else down)
-        out[name] = min(out[name], n)
-        got *= out[name]
-    return out
+    kept = dict(full)
+    while (product := math.prod(kept.values())) > total and max(kept.values()) > 1:
+        name = max((n for n in kept if kept[n] > 1), key=lambda n: (kept[n] / full[n], kept[n]))
+        kept[name] -= 1
+        fewer = math.prod(kept.values())
+        if fewer <= total and product - total < total - fewer:
+            kept[name] += 1
+            break
+    return kept
 
 
 def grid(spark: SparkSession, variables: list[Variable], total: int, seed: int = 0) -> DataFrame:
@@ -50,6 +56,8 @@ def grid(spark: SparkSession, variables: list[Variable], total: int, seed: int =
     if total <= 0:
         raise ValueError(f"no grid of {total} points")
     n = counts(variables, total)
+    if max(n.values()) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} values of a variable")
     df = None
     for v in variables:
         values = spark.createDataFrame([(v.value(i), i) for i in range(v.count())], f"`{v.name}` double, i int")

@@ -71,27 +71,30 @@ def split_words(vocab: DataFrame, general: DataFrame, cache: DataFrame | None =
     known = vocab.select("token", "freq").where("token is not null").limit(most_words + 1).toArrow()
     if known.num_rows > most_words:
         raise ValueError(f"more than {most_words} words: cap the vocabulary")
-    spark = vocab.sparkSession
     freqs = dict(zip(known["token"].to_pylist(), known["freq"].to_pylist()))
-    words = {r[0] for r in general.select("token").collect()}
-    done = {r["token"]: list(r["parts"]) for r in cache.select("token", "parts").collect()} if cache is not None else {}
-    shared = spark.sparkContext.broadcast((freqs, words, done))
+    shared = vocab.sparkSession.sparkContext.broadcast(freqs)
+    words = vocab.select("token", "freq").where("token is not null and token <> ''")
+    words = words.join(general.select("token", F.lit(True).alias("general")).distinct(), "token", "left")
+    if cache is None:
+        words = words.withColumn("cached", F.lit(None).cast("array<string>"))
+    else:
+        words = words.join(cache.groupBy("token").agg(F.min("parts").alias("cached")), "token", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freqs, words, done = shared.value
+        freqs = shared.value
         for b in batches:
             rows = []
-            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t in done:
-                    rows.append((t, "split" if len(done[t]) > 1 else "keep", done[t], 0.0))
-                elif t in words and len(t) >= 4:
+            for t, n, general, cached in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if cached is not None:
+                    rows.append((t, "split" if len(cached) > 1 else "keep", cached, 0.0))
+                elif general and len(t) >= 4:
                     rows.append((t, "keep", [t], 0.0))
                 else:
-                    rows.append((t, *best_split(t, n, freqs, words, w)))
+                    rows.append((t, *best_split(t, n, freqs, {t} if general else (), w)))
             types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["token", "outcome", "parts", "score"])
 
-    return vocab.select("token", "freq").where("token is not null and token <> ''").mapInArrow(run, "token string, outcome string, parts array<string>, score double")
+    return words.select("token", "freq", "general", "cached").mapInArrow(run, "token string, outcome string, parts array<string>, score double")
 
 
 def error_statistics(actual: DataFrame, expected: DataFrame) -> DataFrame:

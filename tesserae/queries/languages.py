@@ -10,7 +10,8 @@ from tesserae.sources import sinks
 
 from .base import query
 
-_D = "CAST({} AS DOUBLE)"
+def _share():
+    return F.when(~F.isnan("code_percent"), F.col("code_percent")).alias("code_percent")
 
 
 def _over(op: str, t=langstats.THRESHOLDS) -> str:
@@ -47,16 +48,17 @@ def noneng_sample(t):
     return t.langstats.where((over("code") | over("code_str")) & (F.length("file") % 15 == 0)).select("project", "file")
 
 
-@query("SELECT m.project, m.file, m.noneng, l.code_percent FROM noneng_manual_tags m JOIN langstats l ON m.project = l.project AND m.file = l.file")
+@query("SELECT m.project, m.file, m.noneng, CASE WHEN CAST(l.code_percent AS VARCHAR) NOT LIKE '%nan%' THEN l.code_percent END AS code_percent FROM noneng_manual_tags m JOIN langstats l ON m.project = l.project AND m.file = l.file")
 def tagged_stats(t):
-    return t.noneng_manual_tags.join(t.langstats, ["project", "file"]).select("project", "file", "noneng", "code_percent").orderBy("code_percent")
+    """Tags with their files' share, in its order; a share that is no number is null."""
+    return t.noneng_manual_tags.join(t.langstats, ["project", "file"]).select("project", "file", "noneng", _share()).orderBy("code_percent")
 
 
-@query("SELECT m.project, m.file, m.noneng, l.code_percent FROM noneng_manual_tags m JOIN langstats l ON m.file = l.file")
+@query("SELECT m.project, m.file, m.noneng, CASE WHEN CAST(l.code_percent AS VARCHAR) NOT LIKE '%nan%' THEN l.code_percent END AS code_percent FROM noneng_manual_tags m JOIN langstats l ON m.file = l.file")
 def tagged_stats_by_file(t):
     """The join on the file name alone."""
     m, l = t.noneng_manual_tags.alias("m"), t.langstats.alias("l")
-    return m.join(l, F.col("m.file") == F.col("l.file")).select("m.project", "m.file", "noneng", "code_percent")
+    return m.join(l, F.col("m.file") == F.col("l.file")).select("m.project", "m.file", "noneng", _share())
 
 
 @query("SELECT DISTINCT project FROM langstats WHERE project NOT IN (SELECT project FROM projects WHERE project IS NOT NULL)")

@@ -17,7 +17,7 @@ _MARKS = ", ".join(f"'{m}'" for m in M.LOGGING)
 
 
 def _rendered(t):
-    java = t.raw_corpus.where("file like '%.java' and text is not null").select(F.concat_ws("/", "project", "file").alias("path"), "project", "text").dropDuplicates(["path"])
+    java = t.raw_corpus.where("file like '%.java' and text is not null").select(F.concat_ws("/", "project", "file").alias("path"), "project", "text").distinct()
     return rendering.rendered(java, ["path", "project"], "101111")
 
 
@@ -64,18 +64,22 @@ def training_cases(t):
 _LOGS = f"regexp_matches(text, '\\b(?:{M.LOGGER})\\.(?:{'|'.join(M.METHODS.values())})\\(')"
 
 
+def _with_logs(t):
+    """Files as streams that hold the log marker where a logging call stands."""
+    has = F.col("text").rlike(rf"\b(?:{M.LOGGER})\.(?:{'|'.join(M.METHODS.values())})\(")
+    return t.raw_corpus.where("text is not null").select("project", F.when(has, F.array(F.lit(M.LOG))).otherwise(F.array().cast("array<string>")).alias("tokens"))
+
+
 @query(f"SELECT project, count(*) FILTER ({_LOGS}) AS with_logs, count(*) FILTER (NOT {_LOGS}) AS without_logs FROM raw_corpus WHERE text IS NOT NULL GROUP BY ROLLUP (project)")
 def log_coverage(t):
     """Files with and without logging calls per project, and in all."""
-    has = F.col("text").rlike(rf"\b(?:{M.LOGGER})\.(?:{'|'.join(M.METHODS.values())})\(")
-    return t.raw_corpus.where("text is not null").rollup("project").agg(F.count_if(has).alias("with_logs"), F.count_if(~has).alias("without_logs"))
+    return cases.coverage(_with_logs(t), "project")
 
 
-@query(f"SELECT project FROM raw_corpus WHERE text IS NOT NULL GROUP BY project HAVING count(*) FILTER ({_LOGS}) / count(*) <= 0.25")
+@query(f"SELECT project FROM raw_corpus WHERE text IS NOT NULL GROUP BY ROLLUP (project) HAVING count(*) FILTER ({_LOGS}) / count(*) <= 0.25")
 def ignored_projects(t):
-    has = F.col("text").rlike(rf"\b(?:{M.LOGGER})\.(?:{'|'.join(M.METHODS.values())})\(")
-    c = t.raw_corpus.where("text is not null").groupBy("project").agg(F.count_if(has).alias("with_logs"), F.count_if(~has).alias("without_logs"))
-    return cases.ignored(c, 25).select("project")
+    """Projects, and null for all of them, in which few files log."""
+    return cases.ignored(cases.coverage(_with_logs(t), "project"), 25).select("project")
 
 
 @query()

@@ -79,10 +79,10 @@ def number_parts(t):
     "SELECT token, CASE WHEN list_contains(f, token) THEN token WHEN regexp_full_match(token, '[0-9]+') THEN '<decnumber>' WHEN regexp_full_match(token, '0x[0-9]+') THEN '<hexnumber>' WHEN regexp_full_match(token, '[0-9]+[l|L]') THEN '<longnumber>' ELSE token END AS shown FROM w, f"
 )
 def infrequent_numbers(t):
-    """Rare numbers by kind. The frequent ones are a capped vocabulary, so the array of them is small."""
-    p = t.partial_vocab.where("token is not null")
-    frequent = p.where(F.col("token").rlike("^[0-9]")).groupBy("token").agg(F.sum("freq").alias("n")).where("n >= 50").agg(F.collect_list("token").alias("f"))
-    return p.select("token").distinct().join(F.broadcast(frequent)).select("token", text.mask_number(F.col("token"), F.col("f")).alias("shown"))
+    """Rare numbers by kind: one sum a term, which is kept where it is frequent."""
+    p = t.partial_vocab.where("token is not null").groupBy("token").agg(F.sum("freq").alias("n"))
+    keep = F.col("token").rlike("^[0-9]") & (F.col("n") >= 50)
+    return p.select("token", text.mask_number(F.col("token"), F.when(keep, F.array("token")).otherwise(F.array().cast("array<string>"))).alias("shown"))
 
 
 @query(
@@ -114,7 +114,16 @@ def reversed_lines(t):
     return t.documents.where("text is not null").select("doc_id", F.array_join(F.reverse(F.split("text", " ", -1)), " ").alias("shown"))
 
 
-@query()
+_CODE_LIST = (
+    "flatten(list_transform(string_split(regexp_replace(regexp_replace(text, ' {4}', '\t', 'g'), '(/\\*|\\*/)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), "
+    f"lambda piece: CASE WHEN piece IN ('/*', '*/') THEN [piece] ELSE regexp_extract_all(piece, '{_SQ}', 1) END))"
+)
+
+
+@query(
+    f"WITH l AS (SELECT project, file, array_to_string({_CODE_LIST}, chr(1)) || chr(1) AS j, len({_CODE_LIST}) AS n FROM raw_corpus WHERE text IS NOT NULL) "
+    "SELECT project, file, CASE WHEN n = 0 THEN '' ELSE array_to_string(list_transform(regexp_extract_all(j, '((?:\t\x01)+|[^\x01]*\x01)', 1), lambda r: CASE WHEN starts_with(r, chr(9) || chr(1)) THEN chr(9) || (length(r) // 2) ELSE replace(r, chr(1), '') END), ' ') END AS shown FROM l"
+)
 def merged_tabs(t):
     """Runs of tabs as one token, in each file's delimiter split."""
     return t.raw_corpus.where("text is not null").select("project", "file", F.array_join(text.merge_tabs(text.code_tokens(F.col("text"))), " ").alias("shown"))
@@ -125,7 +134,13 @@ def escaped_lines(t):
     return t.raw_corpus.where("text is not null").select("project", "file", text.escape_line(F.array("text")).alias("line"))
 
 
-@query()
+_KEPT = ", ".join("'" + s.replace("'", "''") + "'" for s in [*M.KEYWORDS, *M.COMMENT_MARKS, *M.TWO_SIGNS, *M.ONE_SIGN, *M.ONE_SIGN_VERBOSE, "\t", "\n", *M.ALL, *(f"\t{i}" for i in range(11))])
+
+
+@query(
+    f"WITH t AS (SELECT unnest({_CODE_LIST}) AS token FROM raw_corpus WHERE file LIKE '%.java') "
+    f"SELECT CASE WHEN regexp_full_match(token, '{_NUM}') OR token IN ({_KEPT}) THEN token ELSE '{M.IDENTIFIER}' END AS token, count(*) AS freq FROM t GROUP BY 1"
+)
 def masked_identifiers(t):
     """Counts of what is left when identifiers are masked."""
     tokens = text.mask_identifiers(text.code_tokens(F.col("text")))

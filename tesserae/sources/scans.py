@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +49,9 @@ def lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merges(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """(rank, left, right, freq) of a merges file; the rank is the line, kept by the reader's offsets."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("rank", "line"))
-    p = F.split("line", " ")
-    df = lines.select("rank", p[0].alias("left"), p[1].alias("right"), F.try_element_at(p, F.lit(3)).try_cast("bigint").alias("freq"))
+    """(rank, left, right, freq) of a merges file; the rank is the line's number."""
+    p = F.split("text", " ")
+    df = lines_of(spark, path).select(F.col("line").cast("int").alias("rank"), p[0].alias("left"), p[1].alias("right"), F.try_element_at(p, F.lit(3)).try_cast("bigint").alias("freq"))
     return df if first is None else df.where(F.col("rank") < first)
 
 
@@ -76,9 +75,29 @@ def table(spark: SparkSession, name: str, where: str, **jdbc: str) -> DataFrame:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of a file or a folder; line numbers by position in the file."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.col("value"))
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "text"))
+    """(file, line, text) of a file or a folder. Large files are read in blocks: a line's number is its place in its block and the lines of the blocks before."""
+    raw = spark.read.text(path, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text")
+    )
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(blocks.select("file", "block", "first", above.alias("above")), ["file", "block"]).select("file", (F.col("above") + F.col("at") - F.col("first")).alias("line"), "text")
+
+
+def token_lines(spark: SparkSession, path: str, backwards: bool = False) -> DataFrame:
+    """(file, line, tokens) of rendered lines, each from its end if ``backwards``; a folder without lines is an error."""
+    tokens = F.split("text", " ")
+    return nonempty(lines_of(spark, path), path).select("file", "line", (F.reverse(tokens) if backwards else tokens).alias("tokens"))
+
+
+def project_list(spark: SparkSession, path: str) -> DataFrame:
+    """(name, url) of a list of projects; hidden blanks around a url are no part of it."""
+    return spark.read.csv(path, schema="name string, url string", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).where("name is not null")
+
+
+def tagged_files(spark: SparkSession, path: str) -> DataFrame:
+    """(project, file, noneng) of a JSON file of tags: a list of objects, or one object a line."""
+    return spark.read.json(path, schema="project string, file string, noneng boolean", multiLine=True)
 
 
 def nonempty(df: DataFrame, what: str) -> DataFrame:

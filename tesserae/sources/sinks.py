@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
+from tesserae.operators import fractions
 
 
 def write(df: DataFrame, path: str, rewrite: bool = False, partition: list[str] | None = None) -> None:
@@ -52,3 +54,45 @@ def write_by_file(df: DataFrame, path: str, file: str = "file") -> None:
 def write_splits(df: DataFrame, path: str) -> None:
     """Outcomes of the splitter, by outcome."""
     df.select("outcome", F.concat_ws("|", "token", F.array_join("parts", " ")).alias("value")).write.mode("overwrite").partitionBy("outcome").text(path)
+
+
+def archived(spark: SparkSession, path: str, at: int | None = None) -> str | None:
+    """Move a folder out of the way, under its name and the time in seconds; None if there is none."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(old):
+        return None
+    new = f"{path.rstrip('/')}_{int(time.time()) if at is None else at}"
+    if not fs.rename(old, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{path} can't be moved")
+    return new
+
+
+def write_byte_pairs(merges: DataFrame, encoded: DataFrame, vocab: DataFrame, root: str, reset: bool = False) -> str:
+    """Merges, the words' subwords and the resulting vocabulary in a folder named by the number of merges, which is the path given
+    back. Existing ones are kept, or archived if ``reset``."""
+    path = f"{root.rstrip('/')}/{merges.count()}"
+    if reset:
+        archived(merges.sparkSession, path)
+    for name, df in (("merges", merges), ("cache", encoded), ("vocab", vocab)):
+        write(df, f"{path}/{name}")
+    return path
+
+
+def write_vocabulary(vocab: DataFrame, root: str, percent: float = 100, start: float = 0, rewrite: bool = False) -> str:
+    """The frequencies of a fraction's tokens under the fraction's name."""
+    path = f"{root.rstrip('/')}/{fractions.prefix(percent, start)}vocab_all"
+    write(vocab, path, rewrite)
+    return path
+
+
+def write_ignored(groups: DataFrame, root: str, threshold: float) -> str:
+    """The groups left out at a threshold, in a folder of the threshold."""
+    path = f"{root.rstrip('/')}/threshold={threshold:g}"
+    write(groups, path, rewrite=True)
+    return path
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The lines of a report (place, line) as text, in their order."""
+    report.orderBy("place").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
