@@ -26,10 +26,10 @@ SQL = {
     "p4_found": f"SELECT token, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p1_found": r"""
 WITH RECURSIVE a AS (SELECT project, regexp_extract(lower(author), '([^\s<>()\[\]",;:]+@[^\s<>()\[\]",;:]+)', 1) AS mail FROM project_authors),
-u AS (SELECT name AS project, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z+]+://', ''), '^[^/@]*@', ''), '^([^/:]+):', '\1/'), '^www\.', '') AS u FROM project_list),
+u AS (SELECT name AS project, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z+]+://', ''), '[?#].*$', ''), '^[^/@]*@', ''), '^([^/:]+):(?:[0-9]+/)?', '\1/'), '^www\.', '') AS u FROM project_list),
 k AS (
-  SELECT project, 'a:' || mail AS key FROM a WHERE mail <> '' AND mail NOT LIKE '%@localhost' AND split_part(mail, '@', 1) NOT IN ('you', 'root', 'unknown', 'noreply', 'no-reply', 'nobody')
-  UNION SELECT project, 'r:' || regexp_replace(regexp_extract(u, '^([^/]+/[^/]+/[^/]+)', 1), '\.git$', '') FROM u WHERE regexp_matches(u, '^[^/]+/[^/]+/[^/]+')
+  SELECT project, 'a:' || mail AS key FROM a WHERE mail <> '' AND regexp_extract(mail, '([^@]*)$', 1) LIKE '%.%' AND regexp_extract(mail, '([^@]*)$', 1) NOT LIKE 'localhost%' AND split_part(mail, '@', 1) NOT IN (""" + ", ".join(f"'{w}'" for w in splits._PLACEHOLDER_LOCAL) + r""")
+  UNION SELECT project, 'r:' || regexp_replace(regexp_replace(regexp_extract(u, '^([^/]+/+[^/]+/+[^/]+)', 1), '/+', '/', 'g'), '\.git$', '') FROM u WHERE regexp_matches(u, '^[^/]+/+[^/]+/+[^/]+')
   UNION SELECT project, 'n:' || lower(regexp_replace(project, '^\d+_', '')) FROM (SELECT project FROM projects UNION SELECT name FROM project_list UNION SELECT project FROM project_authors) WHERE project IS NOT NULL),
 e AS (SELECT DISTINCT x.project AS a, y.project AS b FROM k x JOIN k y ON x.key = y.key AND x.project <> y.project),
 c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)

@@ -16,6 +16,8 @@ count once; an empty table gives no rows.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,23 +108,27 @@ def allot(bundles: list[tuple[int, str, int]], proportions: dict[str, float] = P
     Min-cost flow in units of files: bundle -> split at cost 0 for the bundle's own label and 1 a file
     otherwise, split -> sink at cost 0 within the quota and ``MISS_COST`` beyond. With three splits a
     shortest augmenting path visits each split once, so paths are found over the splits alone: moving
-    files from split s to t costs the cheapest re-assignment among the bundles with flow into s."""
+    files from split s to t costs the cheapest re-assignment among the bundles with flow into s. A heap for each
+    pair of splits holds these; a bundle whose flow into s has gone is dropped when it comes up."""
     splits = list(proportions)
     total = sum(s * c for s, _, c in bundles)
     quota = {k: total * p for k, p in proportions.items()}
     flow = [{k: float(s * c) if k == (label if label in proportions else splits[0]) else 0.0 for k in splits} for s, label, c in bundles]
     load = {k: sum(f[k] for f in flow) for k in splits}
     move = lambda i, a, b: (b != bundles[i][1]) - (a != bundles[i][1])
+    heaps = {(a, b): [(move(i, a, b), -bundles[i][0], i) for i, f in enumerate(flow) if f[a] > 1e-9] for a in splits for b in splits if a != b}
+    for h in heaps.values():
+        heapify(h)
     while True:
         over = [k for k in splits if load[k] > quota[k] + 1e-6]
         under = [k for k in splits if load[k] < quota[k] - 1e-6]
         if not over or not under:
             break
         arc = {}
-        for a in splits:
-            for b in splits:
-                if a != b:
-                    arc[a, b] = min(((move(i, a, b), -bundles[i][0], i) for i, f in enumerate(flow) if f[a] > 1e-9), default=None)
+        for (a, b), h in heaps.items():
+            while h and flow[h[0][2]][a] <= 1e-9:
+                heappop(h)
+            arc[a, b] = h[0] if h else None
         best = None
         for a in over:
             for b in under:
@@ -138,8 +144,13 @@ def allot(bundles: list[tuple[int, str, int]], proportions: dict[str, float] = P
         _, p, steps = best
         amount = min(load[p[0]] - quota[p[0]], quota[p[-1]] - load[p[-1]], *(flow[s[2]][x] for s, x in zip(steps, p)))
         for s, x, y in zip(steps, p, p[1:]):
-            flow[s[2]][x] -= amount
-            flow[s[2]][y] += amount
+            i = s[2]
+            if flow[i][y] <= 1e-9:
+                for c in splits:
+                    if c != y:
+                        heappush(heaps[y, c], (move(i, y, c), -bundles[i][0], i))
+            flow[i][x] -= amount
+            flow[i][y] += amount
         load[p[0]] -= amount
         load[p[-1]] += amount
     # rounding: whole components by the integral part, the rest, largest first, to the split furthest below its quota
