@@ -37,21 +37,26 @@ def merge_pair(words: DataFrame, left: str, right: str) -> DataFrame:
     return words.withColumn("symbols", F.aggregate("symbols", F.array().cast("array<string>"), step))
 
 
-def learn(vocab: DataFrame, n_merges: int, words_in_task: int = 1_000_000, every: int = 20) -> DataFrame:
+def learn(vocab: DataFrame, n_merges: int, words_in_task: int = 1_000_000, every: int = 20, known: DataFrame | None = None) -> DataFrame:
     """(rank, left, right, freq): the most frequent pair is merged, again and again; ties by pair.
 
     A vocabulary is far smaller than its corpus. Up to ``words_in_task`` words (checked) one task learns on it
     with an incremental pair count; beyond that each merge is an aggregation over the distributed words,
-    with the lineage cut every so many merges. Both give the same merges."""
-    words = splittable(vocab)
+    with the lineage cut every so many merges. Both give the same merges. ``known`` merges are kept as the first
+    ones, and learning goes on behind them; a list of merges is a model of ``n_merges`` rows at most."""
+    words, spark = splittable(vocab), vocab.sparkSession
+    done = [] if known is None else [tuple(r) for r in known.where(F.col("rank") < n_merges).select("rank", "left", "right", "freq").orderBy("rank").collect()]
+    ranks = {(left, right): rank for rank, left, right, _ in done}
     if words.limit(words_in_task + 1).count() <= words_in_task:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = learned([(t, n) for b in batches for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], n_merges)
+            rows = learned([(t, n) for b in batches for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], n_merges - len(done), ranks)
+            rows = [*done, *((rank + len(done), *rest) for rank, *rest in rows)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.int64()))], ["rank", "left", "right", "freq"])
 
         return words.select("token", "freq").coalesce(1).mapInArrow(run, "rank int, left string, right string, freq bigint")
-    spark, rows, current = vocab.sparkSession, [], stage(symbols(words), "bpe")
-    for rank in range(n_merges):
+    start = encode(words, known).join(words, "token").select("token", "freq", F.col("subwords").alias("symbols")) if done else symbols(words)
+    rows, current = done, stage(start, "bpe")
+    for rank in range(len(done), n_merges):
         best = pair_statistics(current).orderBy(F.desc("freq"), "left", "right").first()
         if best is None:
             break
@@ -62,12 +67,12 @@ def learn(vocab: DataFrame, n_merges: int, words_in_task: int = 1_000_000, every
     return spark.createDataFrame(rows, "rank int, left string, right string, freq bigint")
 
 
-def learned(vocab: list[tuple[str, int]], n_merges: int) -> list[tuple[int, str, str, int]]:
-    """Merges of a vocabulary in memory: counts of pairs are kept up by the words a merge touches, the top pair comes from a lazily cleaned heap."""
+def learned(vocab: list[tuple[str, int]], n_merges: int, known: dict[tuple[str, str], int] | None = None) -> list[tuple[int, str, str, int]]:
+    """Merges of a vocabulary in memory, behind those of ``known``: counts of pairs are kept up by the words a merge touches, the top pair comes from a lazily cleaned heap."""
     import heapq
     from collections import defaultdict
 
-    words = [list(t) for t, _ in vocab]
+    words = [code.merge_word(t, known) if known else list(t) for t, _ in vocab]
     freq = [n for _, n in vocab]
     count: dict[tuple[str, str], int] = defaultdict(int)
     where: dict[tuple[str, str], set[int]] = defaultdict(set)

@@ -61,6 +61,25 @@ def rendered(df: DataFrame, key: list[str], digits: str, split: SplitConfig | No
     return _per_text(df, key, make, "array<string>", pa.list_(pa.string()), "tokens")
 
 
+def rendered_as(df: DataFrame, key: list[str], codes: list[str], non_english: frozenset[str] = frozenset()) -> DataFrame:
+    """(key..., one array c<code> a code): each text is parsed once and rendered under every code; null for null."""
+    valid = [Code.parse(c) for c in codes]
+    n = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways = [v.rendering(None) for v in valid]
+        for b in batches:
+            out: list[list] = [[] for _ in ways]
+            for text in b.column(n).to_pylist():
+                tokens = None if text is None else code.parse(text, non_english)
+                for column, way in zip(out, ways):
+                    column.append(None if tokens is None else code.render(tokens, way))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(c, pa.list_(pa.string())) for c in out)], [*key, *(f"c{c}" for c in codes)])
+
+    types = dict(df.dtypes)
+    return df.select(*key, "text").mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in key), *(f"c{c} array<string>" for c in codes)]))
+
+
 def readable(df: DataFrame, key: list[str]) -> DataFrame:
     """(key..., shown): rendered lines as people read them."""
     return _per_text(df, key, lambda: code.beautify, "string", pa.string(), "shown")

@@ -11,6 +11,8 @@ from tesserae.functions import code, markers as M
 from tesserae.functions import text
 from tesserae.operators import cases, metrics, repr as rendering, sampling, vocab
 
+from tesserae.plans.staging import stage
+
 from .base import query
 
 _MARKS = ", ".join(f"'{m}'" for m in M.LOGGING)
@@ -54,8 +56,8 @@ for _kind in cases.KINDS:
 
 @query()
 def training_cases(t):
-    """Cases of projects that log enough."""
-    r = _rendered(t)
+    """Cases of projects that log enough. The rendered corpus is read twice, so it is written once."""
+    r = stage(_rendered(t), "rendered")
     low = cases.ignored(cases.coverage(r, "project").where("project is not null"), 10)
     c = cases.cases(r, "path", "level", cases.CONTEXT).withColumn("project", F.substring_index("path", "/", 1))
     return cases.training_rows(c, low, "project").select("path", "label")

@@ -224,11 +224,8 @@ def identifier_comparison(t):
     """Each identifier under several codes, one column a code."""
     codes = ["000000", "001000", "101111"]
     words = _words(t).select("word", F.col("word").alias("text"))
-    out = None
-    for c in codes:
-        r = rendering.rendered(words, ["word"], c).select("word", F.array_join(F.filter("tokens", lambda x: x != "\n"), " ").alias(f"c{c}"))
-        out = r if out is None else out.join(r, "word")
-    return out
+    shown = lambda c: F.array_join(F.filter(f"c{c}", lambda x: x != "\n"), " ").alias(f"c{c}")
+    return rendering.rendered_as(words, ["word"], codes).select("word", *map(shown, codes))
 
 
 _LOW = "SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM partial_vocab WHERE regexp_matches(token, '^[a-z]+$') GROUP BY token"

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
-from tesserae.operators import cases, compare, langstats, metrics, params, sampling, splitter, vocab
+from tesserae.operators import bpe, cases, compare, langstats, metrics, params, sampling, splitter, vocab
+from tesserae.operators import repr as rendering
 from tesserae.plans import staging
 from tesserae.sources import scans, sinks
 
@@ -145,3 +146,21 @@ def test_small_sources_and_sinks(spark, tmp_path):
     assert sinks.write_ignored(v.select("token"), str(tmp_path / "i"), 0.5).endswith("threshold=0.5")
     sinks.write_report(spark.createDataFrame([(1, "0.5"), (0, "7")], "place int, line string"), str(tmp_path / "r"))
     assert "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*"))) == "7\n0.5\n"
+
+
+def test_learning_goes_on_behind_known_merges(spark):
+    r = random.Random(4)
+    v = spark.createDataFrame(list({w: (w, r.randrange(1, 50)) for w in ("".join(r.choice("abc") for _ in range(r.randrange(2, 9))) for _ in range(60))}.values()), "token string, freq bigint")
+    whole = sorted(tuple(x) for x in bpe.learn(v, 8).collect())
+    first = bpe.learn(v, 3)
+    for most in (10**6, 1):
+        assert sorted(tuple(x) for x in bpe.learn(v, 8, words_in_task=most, known=first).collect()) == whole
+    assert sorted(tuple(x) for x in bpe.learn(v, 3, known=bpe.learn(v, 8)).collect()) == whole[:3]
+
+
+def test_one_parse_serves_all_codes(spark):
+    df = spark.createDataFrame([("a", "int fooBar = 12; // héllo"), ("b", None), ("c", "")], "k string, text string")
+    codes = ["000000", "101110", "021101"]
+    got = {x.k: x for x in rendering.rendered_as(df, ["k"], codes).collect()}
+    for c in codes:
+        assert {x.k: x.tokens for x in rendering.rendered(df, ["k"], c).collect()} == {k: x[f"c{c}"] for k, x in got.items()}
