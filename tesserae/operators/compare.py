@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,12 @@ def correlation(a: DataFrame, b: DataFrame) -> DataFrame:
 def overlap_matrix(lists: DataFrame, name: str = "list") -> DataFrame:
     """(list_a, list_b, common, rate): shared pairs of every two lists against the smaller list. The lists meet on their pairs, by an equi-join; empty meetings are filled in over the few list names."""
     sizes = lists.groupBy(name).agg(F.count("*").alias("n"))
-    if sizes.limit(MOST_LISTS + 1).count() > MOST_LISTS:
-        raise ValueError(f"more than {MOST_LISTS} lists: a matrix of them is no report")
     a, b = lists.select(F.col(name).alias("list_a"), "left", "right"), lists.select(F.col(name).alias("list_b"), "left", "right")
     common = a.join(b, ["left", "right"]).groupBy("list_a", "list_b").agg(F.count("*").alias("common"))
-    every = sizes.select(F.col(name).alias("list_a"), F.col("n").alias("na")).join(F.broadcast(sizes.select(F.col(name).alias("list_b"), F.col("n").alias("nb"))))
+    every = sizes.select(F.col(name).alias("list_a"), F.col("n").alias("na")).join(F.broadcast(sizes.select(F.col(name).alias("list_b"), F.col("n").alias("nb")).limit(MOST_LISTS + 1)))
+    # the limit bounds what is broadcast; where it bites, the query is an error
+    lists = F.count("*").over(Window.partitionBy("list_a"))
+    every = every.withColumn("na", F.when(lists > MOST_LISTS, F.raise_error(F.lit(f"more than {MOST_LISTS} lists: a matrix of them is no report"))).otherwise(F.col("na")))
     j = every.join(common, ["list_a", "list_b"], "left").na.fill(0, ["common"])
     return j.select("list_a", "list_b", "common", F.round(F.col("common") / F.least("na", "nb"), 6).alias("rate"))
 
