@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,28 +19,84 @@ _TOKEN = pa.struct([
 TOKENS = "array<struct<pos:int,kind:string,text:string,parts:array<string>,ctx:string,ctx_id:int,log_id:int,log_role:string,level:string,block_id:int,non_eng:boolean>>"
 
 
+#: Values (tokens, or rows of ``per_file``) of a batch that leaves the interpreter; a batch ends with the file that exceeds it. Only speed and memory depend on it.
+BATCH_VALUES = 50_000
+
+
+def _batches(column: pa.Array, values: Callable[[str | None], tuple[object, int]]) -> Iterator[tuple[int, list]]:
+    """(first row, values of it and the following rows) of a column of texts, each part of about ``BATCH_VALUES``: what is held at once doesn't grow with the rows of an Arrow batch."""
+    first, out, size = 0, [], 0
+    for i in range(len(column)):
+        value, n = values(column[i].as_py())
+        out.append(value)
+        size += n
+        if size >= BATCH_VALUES:
+            yield first, out
+            first, out, size = i + 1, [], 0
+    if out:
+        yield first, out
+
+
 def _per_text(df: DataFrame, key: list[str], make, spark_type: str, arrow_type, name: str) -> DataFrame:
     """(key..., name): ``make`` of each text, null for null."""
     n = len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
+
+        def value(text):
+            v = None if text is None else f(text)
+            return v, 1 + len(v or ())
+
         for b in batches:
-            out = [None if t is None else f(t) for t in b.column(n).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(out, arrow_type)], [*key, name])
+            for first, out in _batches(b.column(n), value):
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, len(out)) for i in range(n)), pa.array(out, arrow_type)], [*key, name])
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), f"{name} {spark_type}"])
     return df.select(*key, "text").mapInArrow(run, schema)
 
 
+#: Spark's types of the columns ``per_file`` makes, in Arrow.
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_())}
+
+
+def per_file(df: DataFrame, key: list[str], rows_of: Callable[[list[code.Token]], list[tuple]], columns: dict[str, str], non_english: frozenset[str] = frozenset()) -> DataFrame:
+    """(key..., columns...): the rows that ``rows_of`` makes of the tokens of each file, where it is read, so that no token leaves its task; no row for null."""
+    n = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def value(text):
+            rows = [] if text is None else rows_of(code.parse(text, non_english))
+            return rows, sum(len(v) if isinstance(v, list) else 1 for r in rows for v in r)
+
+        for b in batches:
+            for first, out in _batches(b.column(n), value):
+                at = pa.array([first + i for i, rows in enumerate(out) for _ in rows], pa.int64())
+                rows = [r for each in out for r in each]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(n)), *(pa.array([r[i] for r in rows], _ARROW[t]) for i, t in enumerate(columns.values()))], [*key, *columns])
+
+    types = dict(df.dtypes)
+    return df.select(*key, "text").mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in key), *(f"{c} {t}" for c, t in columns.items())]))
+
+
+def runs(tokens: list[code.Token], *by: str) -> list[tuple]:
+    """(values of ``by``..., tokens) of a file's tokens for which the last of ``by``, an id, isn't 0."""
+    out: dict[tuple, int] = {}
+    for t in tokens:
+        if getattr(t, by[-1]):
+            k = tuple(getattr(t, x) for x in by)
+            out[k] = out.get(k, 0) + 1
+    return [(*k, n) for k, n in out.items()]
+
+
 def parsed(df: DataFrame, key: list[str], non_english: frozenset[str] = frozenset()) -> DataFrame:
     """(key..., tokens): the annotated tokens of each file. ``non_english`` is a dictionary; it is sent with the plan."""
     def make():
         def f(text):
             return [
                 {"pos": i, "kind": t.kind, "text": t.text, "parts": [p if isinstance(p, str) else p[0] for p in t.parts], "ctx": t.ctx, "ctx_id": t.ctx_id, "log_id": t.log_id, "log_role": t.log_role, "level": t.level,
-                 "block_id": t.block_id, "non_eng": any(not isinstance(p, str) and p[2] for p in t.parts)}
+                 "block_id": t.block_id, "non_eng": code.is_foreign(t)}
                 for i, t in enumerate(code.parse(text, non_english))
             ]
         return f
@@ -68,13 +124,15 @@ def rendered_as(df: DataFrame, key: list[str], codes: list[str], non_english: fr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways = [v.rendering(None) for v in valid]
+
+        def value(text):
+            tokens = None if text is None else code.parse(text, non_english)
+            shown = [None if tokens is None else code.render(tokens, way) for way in ways]
+            return shown, 1 + sum(len(x or ()) for x in shown)
+
         for b in batches:
-            out: list[list] = [[] for _ in ways]
-            for text in b.column(n).to_pylist():
-                tokens = None if text is None else code.parse(text, non_english)
-                for column, way in zip(out, ways):
-                    column.append(None if tokens is None else code.render(tokens, way))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(c, pa.list_(pa.string())) for c in out)], [*key, *(f"c{c}" for c in codes)])
+            for first, out in _batches(b.column(n), value):
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, len(out)) for i in range(n)), *(pa.array([r[i] for r in out], pa.list_(pa.string())) for i in range(len(ways)))], [*key, *(f"c{c}" for c in codes)])
 
     types = dict(df.dtypes)
     return df.select(*key, "text").mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in key), *(f"c{c} array<string>" for c in codes)]))

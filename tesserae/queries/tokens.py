@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.functions import markers as M
+from tesserae.functions import code, markers as M
 from tesserae.functions import text
 from tesserae.operators import bpe, compare, repr as rendering, splitter, vocab
 from tesserae.operators.config import SplitConfig
@@ -185,19 +185,24 @@ def loggable_blocks(t):
     return p.groupBy("project", "file").agg(F.count_distinct("t.block_id").alias("blocks"), F.count("*").alias("tokens"))
 
 
+def _foreign(tokens):
+    marks = [code.is_foreign(x) for x in tokens if x.kind == "ident"]
+    return [(len(marks), sum(marks))] if marks else []
+
+
 @query()
 def foreign_marks(t):
     """Identifier parts outside English per file."""
-    p = rendering.parsed(_java(t), ["project", "file"]).select("project", "file", F.explode("tokens").alias("t")).where("t.kind = 'ident'")
-    return p.groupBy("project", "file").agg(F.count("*").alias("identifiers"), F.count_if("t.non_eng").alias("non_eng"))
+    p = rendering.per_file(_java(t), ["project", "file"], _foreign, {"identifiers": "bigint", "non_eng": "bigint"})
+    return p.groupBy("project", "file").agg(F.sum("identifiers").alias("identifiers"), F.sum("non_eng").alias("non_eng"))
 
 
-def _render(code, split=None):
+def _render(digits, split=None):
     def f(t):
-        r = rendering.rendered(_java(t), ["project", "file"], code, split)
+        r = rendering.rendered(_java(t), ["project", "file"], digits, split)
         return vocab.vocabulary(vocab.explode_tokens(r, F.col("tokens")))
 
-    f.__name__, f.__doc__ = f"render_{code}", f"Token counts of the corpus rendered as {code}."
+    f.__name__, f.__doc__ = f"render_{digits}", f"Token counts of the corpus rendered as {digits}."
     return query()(f)
 
 
