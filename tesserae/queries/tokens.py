@@ -168,8 +168,8 @@ def _java(t):
 @query()
 def log_statements(t):
     """Logging statements of the parser: level and length of each."""
-    p = rendering.parsed(_java(t), ["project", "file"]).select("project", "file", F.explode("tokens").alias("t")).where("t.log_id > 0")
-    return p.groupBy("project", "file", F.col("t.log_id").alias("log_id")).agg(F.first("t.level").alias("level"), F.count("*").alias("tokens"))
+    p = rendering.per_file(_java(t), ["project", "file"], lambda tokens: rendering.runs(tokens, "level", "log_id"), {"level": "string", "log_id": "int", "n": "bigint"})
+    return p.groupBy("project", "file", "log_id").agg(F.min("level").alias("level"), F.sum("n").alias("tokens"))
 
 
 @query()
