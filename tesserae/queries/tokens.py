@@ -175,8 +175,8 @@ def log_statements(t):
 @query()
 def text_segments(t):
     """Comments and string literals per file."""
-    p = rendering.parsed(_java(t), ["project", "file"]).select("project", "file", F.explode("tokens").alias("t")).where("t.ctx is not null")
-    return p.groupBy("project", "file", F.col("t.ctx").alias("kind")).agg(F.count_distinct("t.ctx_id").alias("segments"), F.count("*").alias("tokens"))
+    p = rendering.per_file(_java(t), ["project", "file"], lambda tokens: rendering.runs(tokens, "ctx", "ctx_id"), {"kind": "string", "ctx_id": "int", "n": "bigint"})
+    return p.groupBy("project", "file", "kind").agg(F.count_distinct("ctx_id").alias("segments"), F.sum("n").alias("tokens"))
 
 
 @query()
