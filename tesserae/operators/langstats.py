@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.code import Token, is_foreign
+
 #: Default thresholds: share, words, distinct words of code; the same of code with strings.
 THRESHOLDS = (0.006, 2.01, 2.01, 0.019, 3.939599999999999, 2.01)
 SAMPLE = 15
@@ -52,16 +57,61 @@ def by_context(tokens: DataFrame, *by: str) -> DataFrame:
     each = tokens.groupBy(*by, "token").agg(
         F.first("foreign").alias("foreign"), F.count_if(F.col("ctx").isNull()).alias("c0"), F.count_if(F.col("ctx") == "string").alias("c1"), F.count_if(F.col("ctx") == "comment").alias("c2")
     )
-    out, names = [], []
+    out = []
     for i, name in enumerate(CONFIGURATIONS):
         n = sum((F.col(f"c{k}") for k in range(1, i + 1)), F.col("c0"))
         bad = F.coalesce(F.col("foreign"), F.lit(False))
         out += [
             F.sum(n).alias(f"{name}_total"), F.count_if(n > 0).alias(f"{name}_total_uq"), F.sum(F.when(bad, n).otherwise(0)).alias(f"{name}_non_eng"), F.count_if(bad & (n > 0)).alias(f"{name}_non_eng_uq"),
         ]
-        names.append(name)
-    rows = each.groupBy(*by).agg(*out)
-    for name in names:
+    return _shares(each.groupBy(*by).agg(*out))
+
+
+def _shares(rows: DataFrame) -> DataFrame:
+    for name in CONFIGURATIONS:
         for end in ("", "_uq"):
             rows = rows.withColumn(f"{name}_percent{end}", F.round(F.coalesce(F.try_divide(f"{name}_non_eng{end}", f"{name}_total{end}"), F.lit(0.0)), 6))
     return rows
+
+
+#: Columns of ``word_counts``: one row a file, whose arrays run over its distinct words.
+WORD_COUNTS = {"token": "array<string>", "foreign": "array<boolean>", "code": "array<int>", "string": "array<int>", "comment": "array<int>"}
+
+
+def word_counts(tokens: list[Token]) -> list[tuple]:
+    """The identifiers of a parsed file with their counts by context, and whether they are foreign; no row without identifiers."""
+    words: dict[str, list] = {}
+    for t in tokens:
+        if t.kind == "ident":
+            w = words.setdefault(t.text, [is_foreign(t), 0, 0, 0])
+            w[1 if t.ctx is None else 2 if t.ctx == "str" else 3] += 1
+    return [([*words], *([w[i] for w in words.values()] for i in range(4)))] if words else []
+
+
+def of_files(counts: DataFrame, *by: str) -> DataFrame:
+    """``by_context`` of (by..., ``WORD_COUNTS``): the words of a file that was delivered several times are added up, and a word is foreign if it is in one of them. A file is one row, not one a word."""
+    files = counts.groupBy(*by).agg(F.collect_list(F.struct(*WORD_COUNTS)).alias("texts"))
+    names = [f"{name}_{n}" for name in CONFIGURATIONS for n in ("total", "total_uq", "non_eng", "non_eng_uq")]
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for texts in b.column(n):
+                words: dict[str, list] = {}
+                for x in texts.as_py():
+                    for token, *new in zip(*(x[c] for c in WORD_COUNTS)):
+                        if w := words.get(token):
+                            words[token] = [w[0] or new[0], *(i + k for i, k in zip(w[1:], new[1:]))]
+                        else:
+                            words[token] = new
+                row = []
+                for i in range(1, len(CONFIGURATIONS) + 1):
+                    each = [(w[0], c) for w in words.values() if (c := sum(w[1:i + 1]))]
+                    bad = [c for foreign, c in each if foreign]
+                    row += [sum(c for _, c in each), len(each), sum(bad), len(bad)]
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array([r[i] for r in out], pa.int64()) for i in range(len(names)))], [*by, *names])
+
+    types = dict(counts.dtypes)
+    return _shares(files.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in by), *(f"{c} bigint" for c in names)])))

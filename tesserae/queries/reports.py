@@ -73,9 +73,7 @@ def lang_stats_by_line(t):
 def lang_stats_by_parser(t):
     """The three readings of each Java file, by the parser's contexts and its foreign marks."""
     java = t.raw_corpus.where("file like '%.java' and text is not null")
-    p = rendering.parsed(java, ["project", "file"]).select("project", "file", F.explode("tokens").alias("t")).where("t.kind = 'ident'")
-    ctx = F.when(F.col("t.ctx").isNotNull(), F.when(F.col("t.ctx").startswith("str"), "string").otherwise("comment"))
-    return langstats.by_context(p.select("project", "file", F.col("t.text").alias("token"), ctx.alias("ctx"), F.col("t.non_eng").alias("foreign")), "project", "file")
+    return langstats.of_files(rendering.per_file(java, ["project", "file"], langstats.word_counts, langstats.WORD_COUNTS), "project", "file")
 
 
 _W = "SELECT DISTINCT token FROM partial_vocab WHERE regexp_matches(token, '^[a-z]{{{}}}$')"
