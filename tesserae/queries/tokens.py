@@ -181,8 +181,8 @@ def text_segments(t):
 
 @query()
 def loggable_blocks(t):
-    p = rendering.parsed(_java(t), ["project", "file"]).select("project", "file", F.explode("tokens").alias("t")).where("t.block_id > 0")
-    return p.groupBy("project", "file").agg(F.count_distinct("t.block_id").alias("blocks"), F.count("*").alias("tokens"))
+    p = rendering.per_file(_java(t), ["project", "file"], lambda tokens: rendering.runs(tokens, "block_id"), {"block_id": "int", "n": "bigint"})
+    return p.groupBy("project", "file").agg(F.count_distinct("block_id").alias("blocks"), F.sum("n").alias("tokens"))
 
 
 def _foreign(tokens):

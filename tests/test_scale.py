@@ -14,7 +14,7 @@ def plan_of(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["foreign_marks", "log_statements", "text_segments", "lang_stats_by_parser"])
+@pytest.mark.parametrize("name", ["foreign_marks", "log_statements", "text_segments", "lang_stats_by_parser", "loggable_blocks"])
 def test_no_token_leaves_the_task_that_parses_it(spark, name):
     plan = plan_of(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "Generate" not in plan and "array<struct<pos" not in plan
