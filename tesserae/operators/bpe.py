@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,23 +39,28 @@ def merge_pair(words: DataFrame, left: str, right: str) -> DataFrame:
     return words.withColumn("symbols", F.aggregate("symbols", F.array().cast("array<string>"), step))
 
 
-def learn(vocab: DataFrame, n_merges: int, words_in_task: int = 1_000_000, every: int = 20, known: DataFrame | None = None) -> DataFrame:
+#: Words whose pairs are looked at together; only memory depends on it.
+BLOCK_WORDS = 250_000
+
+
+def learn(vocab: DataFrame, n_merges: int, words_in_task: int = 4_000_000, every: int = 20, known: DataFrame | None = None) -> DataFrame:
     """(rank, left, right, freq): the most frequent pair is merged, again and again; ties by pair.
 
-    A vocabulary is far smaller than its corpus. Up to ``words_in_task`` words (checked) one task learns on it
-    with an incremental pair count; beyond that each merge is an aggregation over the distributed words,
+    A vocabulary is far smaller than its corpus. It is written once; up to ``words_in_task`` words (checked) one task
+    learns on it, on flat arrays of about 100 bytes a word of nine letters; beyond that each merge is an aggregation over the distributed words,
     with the lineage cut every so many merges. Both give the same merges. ``known`` merges are kept as the first
-    ones, and learning goes on behind them; a list of merges is a model of ``n_merges`` rows at most."""
-    words, spark = splittable(vocab), vocab.sparkSession
+    ones, and learning goes on behind them; a list of merges is a model of ``n_merges`` rows at most and is learnt once, in this call."""
+    words, spark = stage(splittable(vocab).select("token", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq")), "bpe-words"), vocab.sparkSession
     done = [] if known is None else [tuple(r) for r in known.where(F.col("rank") < n_merges).select("rank", "left", "right", "freq").orderBy("rank").collect()]
     ranks = {(left, right): rank for rank, left, right, _ in done}
-    if words.limit(words_in_task + 1).count() <= words_in_task:
+    schema = "rank int, left string, right string, freq bigint"
+    if words.count() <= words_in_task:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = learned([(t, n) for b in batches for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], n_merges - len(done), ranks)
-            rows = [*done, *((rank + len(done), *rest) for rank, *rest in rows)]
+            rows = _learned(((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches), n_merges - len(done), ranks)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.int64()))], ["rank", "left", "right", "freq"])
 
-        return words.select("token", "freq").coalesce(1).mapInArrow(run, "rank int, left string, right string, freq bigint")
+        rows = words.coalesce(1).mapInArrow(run, schema).collect()
+        return spark.createDataFrame([*done, *((rank + len(done), *rest) for rank, *rest in sorted(map(tuple, rows)))], schema)
     start = encode(words, known).join(words, "token").select("token", "freq", F.col("subwords").alias("symbols")) if done else symbols(words)
     rows, current = done, stage(start, "bpe")
     for rank in range(len(done), n_merges):
@@ -64,52 +71,113 @@ def learn(vocab: DataFrame, n_merges: int, words_in_task: int = 1_000_000, every
         current = merge_pair(current, best["left"], best["right"])
         if rank % every == every - 1:
             current = stage(current, "bpe")
-    return spark.createDataFrame(rows, "rank int, left string, right string, freq bigint")
+    return spark.createDataFrame(rows, schema)
 
 
 def learned(vocab: list[tuple[str, int]], n_merges: int, known: dict[tuple[str, str], int] | None = None) -> list[tuple[int, str, str, int]]:
-    """Merges of a vocabulary in memory, behind those of ``known``: counts of pairs are kept up by the words a merge touches, the top pair comes from a lazily cleaned heap."""
-    import heapq
-    from collections import defaultdict
-
-    words = [code.merge_word(t, known) if known else list(t) for t, _ in vocab]
-    freq = [n for _, n in vocab]
-    count: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for p in zip(w, w[1:]):
-            count[p] += freq[i]
-            where[p].add(i)
-    heap = [(-n, p) for p, n in count.items()]
+    """Merges of a vocabulary in memory, behind those of ``known``."""
+    return _learned([([t for t, _ in vocab], [n for _, n in vocab])], n_merges, known)
+
+
+def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts of equal keys in it, keys, sums of weights)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return order, starts, keys[starts], np.add.reduceat(weights[order], starts) if len(keys) else weights[:0]
+
+
+def _learned(chunks: Iterable[tuple[list[str], list[int]]], n_merges: int, known: dict[tuple[str, str], int] | None = None) -> list[tuple[int, str, str, int]]:
+    """Words are flat arrays of symbols; each pair has the words it may stand in. Counts of pairs are kept up by the words a merge touches, the top pair comes from a lazily cleaned heap."""
+    first = 0x110000  # symbols below it are characters
+    names: list[str] = []
+    ids: dict[str, int] = {}
+
+    def number(s: str) -> int:
+        if len(s) == 1:
+            return ord(s)
+        if s not in ids:
+            ids[s] = first + len(names)
+            names.append(s)
+        return ids[s]
+
+    flat, lengths, numbers = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for tokens, freqs in chunks:
+        parts = [code.merge_word(t, known) for t in tokens] if known else tokens
+        flat.append(np.array([number(s) for w in parts for s in w], np.int32) if known else np.frombuffer("".join(tokens).encode("utf-32-le"), np.int32))
+        lengths.append(np.array([len(w) for w in parts], np.int32))
+        numbers.append(np.array(freqs, np.int64))
+    symbol, size, freq = np.concatenate(flat), np.concatenate(lengths), np.concatenate(numbers)
+    del flat, lengths, numbers
+    start = np.cumsum(size, dtype=np.int64) - size
+    name = lambda i: chr(i) if i < first else names[i - first]
+
+    def places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, index in ``words``) of each symbol of some words."""
+        n = size[words]
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), n)
+        return np.repeat(start[words] - (np.cumsum(n, dtype=np.int64) - n), n) + np.arange(len(owner)), owner
+
+    def pairs(s: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair as one number, index of its word)."""
+        inner = owner[1:] == owner[:-1]
+        return ((s[:-1].astype(np.int64) << 32) | s[1:])[inner], owner[:-1][inner]
+
+    count: dict[int, int] = {}
+    where: dict[int, list[np.ndarray]] = {}
+
+    def note(keys: np.ndarray, words: np.ndarray) -> None:
+        order, starts, distinct, _ = _sums(keys, words)
+        for k, w in zip(distinct.tolist(), np.split(words[order], starts[1:])):
+            where.setdefault(k, []).append(w.copy())
+
+    for at in range(0, len(size), BLOCK_WORDS):
+        words = np.arange(at, min(at + BLOCK_WORDS, len(size)), dtype=np.int32)
+        place, owner = places(words)
+        keys, own = pairs(symbol[place], owner)
+        _, _, distinct, n = _sums(keys, freq[words[own]])
+        for k, x in zip(distinct.tolist(), n.tolist()):
+            count[k] = count.get(k, 0) + x
+        note(keys, words[own])
+    entry = lambda k: (-count[k], (name(k >> 32), name(k & 0xFFFFFFFF)), k)
+    heap = [entry(k) for k in count]
     heapq.heapify(heap)
     out = []
     while heap and len(out) < n_merges:
-        n, pair = heapq.heappop(heap)
-        if count.get(pair, 0) != -n or not n:
+        n, (left, right), key = heapq.heappop(heap)
+        if count.get(key, 0) != -n or not n:
             continue
-        out.append((len(out), *pair, -n))
-        changed: dict[tuple[str, str], int] = defaultdict(int)
-        for i in where.pop(pair):
-            w, new, k = words[i], [], 0
-            for p in zip(w, w[1:]):
-                changed[p] -= freq[i]
-            while k < len(w):
-                if k + 1 < len(w) and (w[k], w[k + 1]) == pair:
-                    new.append(w[k] + w[k + 1])
-                    k += 2
-                else:
-                    new.append(w[k])
-                    k += 1
-            words[i] = new
-            for p in zip(new, new[1:]):
-                changed[p] += freq[i]
-                where[p].add(i)
-        for p, d in changed.items():
+        out.append((len(out), left, right, -n))
+        a, b, new = key >> 32, key & 0xFFFFFFFF, number(left + right)
+        touched = np.unique(np.concatenate(where.pop(key)))
+        changed: dict[int, int] = {}
+        for at in range(0, len(touched), BLOCK_WORDS):
+            words = touched[at:at + BLOCK_WORDS]
+            place, owner = places(words)
+            s = symbol[place]
+            hits = np.flatnonzero((s[:-1] == a) & (s[1:] == b) & (owner[1:] == owner[:-1]))
+            if a == b and len(hits):  # of a run, every second one, from the left
+                begin = np.concatenate(([True], np.diff(hits) != 1))
+                hits = hits[(hits - np.maximum.accumulate(np.where(begin, hits, 0))) % 2 == 0]
+            before, own = pairs(s, owner)
+            keep = np.ones(len(s), bool)
+            s[hits] = new
+            keep[hits + 1] = False
+            old, s, owner = own, s[keep], owner[keep]
+            size[words] = np.bincount(owner, minlength=len(words))
+            symbol[places(words)[0]] = s
+            after, own = pairs(s, owner)
+            _, _, distinct, d = _sums(np.concatenate((before, after)), np.concatenate((-freq[words[old]], freq[words[own]])))
+            for k, x in zip(distinct[d != 0].tolist(), d[d != 0].tolist()):
+                changed[k] = changed.get(k, 0) + x
+            made = ((after >> 32) == new) | ((after & 0xFFFFFFFF) == new)
+            note(after[made], words[own[made]])
+        for k, d in changed.items():
             if d:
-                count[p] += d
-                if count[p] > 0:
-                    heapq.heappush(heap, (-count[p], p))
-        count.pop(pair, None)
+                count[k] = count.get(k, 0) + d
+                if count[k] > 0:
+                    heapq.heappush(heap, entry(k))
+        count.pop(key, None)
     return out
 
 

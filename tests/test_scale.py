@@ -1,11 +1,15 @@
 """What must not grow with the rows of a batch, a file or a vocabulary."""
 
+import collections
 import contextlib
 import io
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tesserae.operators import bpe
 
 
 def plan_of(df):
@@ -18,3 +22,50 @@ def plan_of(df):
 def test_no_token_leaves_the_task_that_parses_it(spark, name):
     plan = plan_of(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "Generate" not in plan and "array<struct<pos" not in plan
+
+
+def _words(n, seed=3):
+    r = random.Random(seed)
+    return [*{"".join(r.choice("aabcdé€😀") for _ in range(r.randint(0, 9))): r.randint(1, 9) for _ in range(n)}.items()]
+
+
+@pytest.mark.parametrize("block,alphabet", [(1, 0), (7, 0), (250_000, 0), (3, 1)])
+def test_merges_learnt_on_arrays_are_those_of_a_full_count(monkeypatch, block, alphabet):
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", block)
+    vocab = [("aaaaa", 3), ("aaa", 2), ("baaaab", 1), ("", 4)] if alphabet else _words(60)
+    words, expected = [list(w) for w, _ in vocab], []
+    for rank in range(25):
+        count = collections.Counter()
+        for w, (_, n) in zip(words, vocab):
+            for p in zip(w, w[1:]):
+                count[p] += n
+        if not count:
+            break
+        pair = min(count, key=lambda p: (-count[p], p))
+        expected.append((rank, *pair, count[pair]))
+        words = [_merged(w, pair) for w in words]
+    assert bpe.learned(vocab, 25) == expected
+
+
+def _merged(w, pair):
+    out, k = [], 0
+    while k < len(w):
+        step = 2 if tuple(w[k:k + 2]) == pair else 1
+        out.append("".join(w[k:k + step]))
+        k += step
+    return out
+
+
+def test_merges_are_learnt_once_and_the_vocabulary_is_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(n):
+        calls.add(1)
+        return n
+
+    v = spark.createDataFrame([("abab", 3), ("abc", 2)], "token string, freq bigint").select("token", counted("freq").alias("freq"))
+    merges = bpe.learn(v, 3)
+    for _ in range(3):
+        assert merges.count() == 3
+    assert calls.value == 2
