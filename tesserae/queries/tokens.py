@@ -8,6 +8,7 @@ from tesserae.functions import code, markers as M
 from tesserae.functions import text
 from tesserae.operators import bpe, compare, repr as rendering, splitter, vocab
 from tesserae.operators.config import SplitConfig
+from tesserae.plans.staging import stage
 
 from .base import query
 
@@ -269,7 +270,7 @@ def bpe_learn(t):
 
 @query()
 def bpe_encode(t):
-    v = _lower_vocab(t)
+    v = stage(_lower_vocab(t), "vocab")
     return bpe.encode(v, bpe.learn(v, 500)).select("token", F.array_join("subwords", " ").alias("subwords"))
 
 

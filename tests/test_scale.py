@@ -69,3 +69,9 @@ def test_merges_are_learnt_once_and_the_vocabulary_is_made_once(spark):
     for _ in range(3):
         assert merges.count() == 3
     assert calls.value == 2
+
+
+@pytest.mark.parametrize("name", ["bpe_encode"])
+def test_the_vocabulary_is_aggregated_once(spark, name):
+    plan = plan_of(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "partial_vocab.parquet" not in plan
