@@ -71,7 +71,7 @@ def test_merges_are_learnt_once_and_the_vocabulary_is_made_once(spark):
     assert calls.value == 2
 
 
-@pytest.mark.parametrize("name", ["bpe_encode", "bpe_result_vocab"])
+@pytest.mark.parametrize("name", ["bpe_encode", "bpe_result_vocab", "merge_similarity"])
 def test_the_vocabulary_is_aggregated_once(spark, name):
     plan = plan_of(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "partial_vocab.parquet" not in plan
