@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tesserae.functions import code
 
@@ -117,6 +119,27 @@ def rendered(df: DataFrame, key: list[str], digits: str, split: SplitConfig | No
     return _per_text(df, key, make, "array<string>", pa.list_(pa.string()), "tokens")
 
 
+def rendered_vocabulary(df: DataFrame, digits: str, split: SplitConfig | None = None, non_english: frozenset[str] = frozenset()) -> DataFrame:
+    """(token, freq) of the rendered texts: each task counts what it renders and sends its counts whenever it holds ``BATCH_VALUES`` of them."""
+    valid = Code.parse(digits)
+    valid.rendering(split.pieces if split else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = valid.rendering(lru_cache(maxsize=1 << 17)(split.pieces) if split else None)
+        counts: Counter = Counter()
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["token", "freq"])
+        for b in batches:
+            for text in b.column(0):
+                if text.is_valid:
+                    counts.update(code.render(code.parse(text.as_py(), non_english), r))
+                    if len(counts) >= BATCH_VALUES:
+                        yield made()
+                        counts.clear()
+        yield made()
+
+    return df.select("text").mapInArrow(run, "token string, freq bigint").groupBy("token").agg(F.sum("freq").alias("freq"))
+
+
 def rendered_as(df: DataFrame, key: list[str], codes: list[str], non_english: frozenset[str] = frozenset()) -> DataFrame:
     """(key..., one array c<code> a code): each text is parsed once and rendered under every code; null for null."""
     valid = [Code.parse(c) for c in codes]

@@ -216,7 +216,7 @@ def render_104111(t):
     """Rendered with byte pairs learnt from the corpus' own words."""
     merges = bpe.learn(_lower_vocab(t), 300)
     ranks = {(r["left"], r["right"]): r["rank"] for r in merges.collect()}
-    return vocab.vocabulary(vocab.explode_tokens(rendering.rendered(_java(t), ["project", "file"], "104111", SplitConfig("bpe", merges=ranks)), F.col("tokens")))
+    return rendering.rendered_vocabulary(_java(t), "104111", SplitConfig("bpe", merges=ranks))
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tesserae.operators import bpe
+from tesserae.operators import repr as rendering
 
 
 def plan_of(df):
@@ -75,3 +76,11 @@ def test_merges_are_learnt_once_and_the_vocabulary_is_made_once(spark):
 def test_the_vocabulary_is_aggregated_once(spark, name):
     plan = plan_of(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "partial_vocab.parquet" not in plan
+
+
+def test_rendered_tokens_are_counted_where_they_are_rendered(spark):
+    texts = ["class A { int value = 10; }", "", None, "int value; // value"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    expected = collections.Counter(w for t in texts if t is not None for w in rendering.preprocess(t, "101111"))
+    assert {x.token: x.freq for x in rendering.rendered_vocabulary(df, "101111").collect()} == expected
+    assert "Generate" not in plan_of(entry.queries()["render_104111"](spark, "/root/testdata/sf0.001"))
