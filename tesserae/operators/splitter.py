@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,38 +65,82 @@ def best_split(word: str, freq: float, freqs: dict[str, float], general, w: Weig
     return "split", parts[::-1], score
 
 
+#: Bits of the signature of a vocabulary as a power of two (a table of 32 MB): a part whose bit isn't set is no word. Only speed depends on it.
+SIGNATURE_BITS = 28
+
+
+def _bit(word: Column) -> Column:
+    return F.crc32(word.cast("binary")).bitwiseAND(F.lit((1 << SIGNATURE_BITS) - 1))
+
+
+def _signature(vocab: DataFrame) -> np.ndarray:
+    """Bits of the words' checksums, of a size that doesn't depend on their number."""
+    at = vocab.where("token is not null").select(_bit(F.col("token")).alias("b"))
+    rows = at.groupBy(F.shiftright("b", 5).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (SIGNATURE_BITS - 5), np.uint32)
+    out[rows["i"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _own_frequencies(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``words`` with (parts, freqs): the vocabulary's words within each word and their frequencies, by a join."""
+    shared, mask = words.sparkSession.sparkContext.broadcast(_signature(vocab)), (1 << SIGNATURE_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            rows = []
+            for token in b.column(0):
+                t = token.as_py()
+                parts = {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+                rows += [(t, p) for p in parts if bits[(h := crc32(p.encode()) & mask) >> 5] >> (h & 31) & 1]
+                if len(rows) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], ["token", "part"])
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], ["token", "part"])
+
+    pairs = words.select("token").distinct().mapInArrow(run, "token string, part string")
+    freqs = vocab.where("token is not null").groupBy(F.col("token").alias("part")).agg(F.max("freq").alias("n"))
+    own = pairs.join(freqs, "part").groupBy("token").agg(F.collect_list(F.struct("part", "n")).alias("own"))
+    return words.join(own.select("token", F.col("own.part").alias("parts"), F.col("own.n").alias("freqs")), "token", "left")
+
+
 def split_words(vocab: DataFrame, general: DataFrame, cache: DataFrame | None = None, w: Weights = Weights(), most_words: int = 2_000_000) -> DataFrame:
     """(token, outcome, parts, score) of each word of a vocabulary (token, freq).
 
     Cached words and dictionary words of four letters or more keep what is known. The frequencies are a
-    vocabulary, broadcast up to ``most_words`` words (checked); a larger one is an error: cap it first."""
+    vocabulary, broadcast up to ``most_words`` words (checked) and joined beyond: each word then brings the known words within it along. Both give the same splits."""
     known = vocab.select("token", "freq").where("token is not null").limit(most_words + 1).toArrow()
-    if known.num_rows > most_words:
-        raise ValueError(f"more than {most_words} words: cap the vocabulary")
-    freqs = dict(zip(known["token"].to_pylist(), known["freq"].to_pylist()))
-    shared = vocab.sparkSession.sparkContext.broadcast(freqs)
+    joined = known.num_rows > most_words
+    shared = vocab.sparkSession.sparkContext.broadcast({} if joined else dict(zip(known["token"].to_pylist(), known["freq"].to_pylist())))
+    del known
     words = vocab.select("token", "freq").where("token is not null and token <> ''")
     words = words.join(general.select("token", F.lit(True).alias("general")).distinct(), "token", "left")
     if cache is None:
         words = words.withColumn("cached", F.lit(None).cast("array<string>"))
     else:
         words = words.join(cache.groupBy("token").agg(F.min("parts").alias("cached")), "token", "left")
+    if joined:
+        words = _own_frequencies(words, vocab)
+    else:
+        words = words.withColumn("parts", F.lit(None).cast("array<string>")).withColumn("freqs", F.lit(None).cast("array<bigint>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freqs = shared.value
         for b in batches:
             rows = []
-            for t, n, general, cached in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(b.column(i) for i in range(6))):
+                t, n, general, cached, parts, numbers = (x.as_py() for x in row)
                 if cached is not None:
                     rows.append((t, "split" if len(cached) > 1 else "keep", cached, 0.0))
                 elif general and len(t) >= 4:
                     rows.append((t, "keep", [t], 0.0))
                 else:
-                    rows.append((t, *best_split(t, n, freqs, {t} if general else (), w)))
+                    rows.append((t, *best_split(t, n, dict(zip(parts, numbers)) if joined else freqs, {t} if general else (), w)))
             types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["token", "outcome", "parts", "score"])
 
-    return words.select("token", "freq", "general", "cached").mapInArrow(run, "token string, outcome string, parts array<string>, score double")
+    return words.select("token", "freq", "general", "cached", "parts", "freqs").mapInArrow(run, "token string, outcome string, parts array<string>, score double")
 
 
 def error_statistics(actual: DataFrame, expected: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tesserae.operators import bpe
 from tesserae.operators import repr as rendering
+from tesserae.operators import splitter
 
 
 def plan_of(df):
@@ -84,3 +85,14 @@ def test_rendered_tokens_are_counted_where_they_are_rendered(spark):
     expected = collections.Counter(w for t in texts if t is not None for w in rendering.preprocess(t, "101111"))
     assert {x.token: x.freq for x in rendering.rendered_vocabulary(df, "101111").collect()} == expected
     assert "Generate" not in plan_of(entry.queries()["render_104111"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_vocabulary_of_any_size_is_split(spark):
+    r = random.Random(4)
+    parts = ["get", "set", "user", "name", "file", "é", "a", "x1"]
+    rows = [*{"".join(r.choice(parts) for _ in range(r.randint(1, 4))): r.randint(1, 500) for _ in range(150)}.items(), ("", 3), (None, 1)]
+    v = spark.createDataFrame(rows, "token string, freq bigint")
+    general = spark.createDataFrame([("username",), ("getname",)], "token string")
+    cache = spark.createDataFrame([("setfile", ["set", "file"])], "token string, parts array<string>")
+    made = [sorted(map(tuple, splitter.split_words(v, general, cache, most_words=m).collect())) for m in (10**6, 10)]
+    assert made[0] == made[1] and any(x[1] == "split" for x in made[1])
