@@ -1,9 +1,9 @@
 """Generated, minified, vendored and data files among source files.
 
-Method: character trigram models of identifiers, trained per language on a bounded sample of the
-corpus (``SAMPLE_FILES``), give the cross-entropy of a file's names; squeezed files have mangled
-names, whatever the length of their lines: unlike the sample's and mostly of one or two letters (or hexadecimal). Files written by tools repeat a template: the entropy of the parts of their names is
-far below the sample's, or, where they have few names, their line shapes (names, literals and numbers blanked) repeat. Foreign naming shows vendored files: a package, path or
+Method: character trigram models of identifiers, trained per language on all files of the
+corpus, give the cross-entropy of a file's names; squeezed files have mangled
+names, whatever the length of their lines: unlike those of other files and mostly of one or two letters (or hexadecimal). Files written by tools repeat a template: the entropy of the parts of their names is
+far below the usual one, or, where they have few names, their line shapes (names, literals and numbers blanked) repeat. Foreign naming shows vendored files: a package, path or
 provenance comment that belongs to a library of the vendor list. Data as code is told by the share
 of literals among the code's characters.
 
@@ -18,19 +18,21 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from statistics import median
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Files of which the identifier models are trained, drawn by hash; the bound keeps the driver's share fixed at any size.
-SAMPLE_FILES = 600
-#: Characters of a file of the sample at most, so that its size is bounded too; files of any length are classified.
-SAMPLE_CHARS = 50_000
-#: Entropy of name parts from which a file counts as made from a template: so many (robust) standard deviations below the sample's files.
+from tesserae.plans.staging import stage
+
+#: Bits of a trigram that the model lacks.
+UNSEEN = 12.0
+#: Entropy of name parts from which a file counts as made from a template: so many (robust) standard deviations below the median file.
 TEMPLATE_DEVIATIONS = 4.0
-#: Mean bits a character from which a file's names count as mangled: so many standard deviations above the sample's files.
+#: Mean bits a character from which a file's names count as mangled: so many standard deviations above the mean file.
 MANGLED_DEVIATIONS = 3.0
 #: Share of short or hexadecimal names from which they count as mangled where lines aren't squeezed, and least names to tell.
 MANGLED_SHARE, LEAST_NAMES = 0.5, 20
@@ -91,37 +93,129 @@ def diversity(names: list[str]) -> float:
     return 1 - sum(c * math.log2(c) for c in parts.values()) / (n * math.log2(n)) if n > 1 else 1.0
 
 
+def _bits(grams: Counter) -> dict[str, float]:
+    heads: Counter = Counter()
+    for g, c in grams.items():
+        heads[g[:2]] += c
+    return {g: -math.log2((c + 0.1) / (heads[g[:2]] + 4)) for g, c in grams.items()}
+
+
 def _counts(files: list[list[str]]) -> dict[str, float]:
     grams: Counter = Counter()
-    heads: Counter = Counter()
     for n in files:
         for w in n:
             w = f"^^{w.lower()}$"
             for i in range(len(w) - 2):
                 grams[w[i:i + 3]] += 1
-                heads[w[i:i + 2]] += 1
-    return {g: -math.log2((c + 0.1) / (heads[g[:2]] + 4)) for g, c in grams.items()}
+    return _bits(grams)
+
+
+def _limits(mean: float, dev: float, usual: float, apart: float) -> tuple[float, float]:
+    """(bits from which names count as mangled, least diversity of names)."""
+    return mean + MANGLED_DEVIATIONS * max(dev, 0.05), usual - TEMPLATE_DEVIATIONS * max(1.4826 * apart, 0.02)
+
+
+def _is_plain(text: str, names: list[str]) -> bool:
+    """Whether a file's names belong to the model: lines aren't squeezed, names not mangled."""
+    return max(map(len, text.split("\n"))) < 300 and len(names) >= LEAST_NAMES and mangled_share(names) < MANGLED_SHARE
 
 
 def train(rows: list[tuple[str, str]]) -> dict[str, tuple[dict[str, float], float, float, float]]:
-    """Extension -> (bits of each trigram given its first two characters, bits of an unseen one, threshold, least diversity of names).
+    """Extension -> (bits of each trigram given its first two characters, bits of an unseen one, threshold, least diversity of names), of files in memory.
 
-    The threshold is that of files the model wasn't made of: each half of the sample is measured by the other."""
+    The threshold is that of files the model wasn't made of: each half is measured by the other."""
     models = {}
     for ext in _CODE:
-        files = [n for e, t in rows if e == ext and max(map(len, t.split("\n"))) < 300 and len(n := names_of(t, ext)) >= LEAST_NAMES and mangled_share(n) < MANGLED_SHARE]
-        bits, unseen = _counts(files), 12.0
+        files = [n for e, t in rows if e == ext and _is_plain(t, n := names_of(t, ext))]
         halves = (files[::2], files[1::2]) if len(files) > 1 else (files, files)
-        each = [entropy(n, other, unseen) for own, rest in (halves, halves[::-1]) for other in (_counts(rest),) for n in own] or [0.0]
+        each = [entropy(n, other, UNSEEN) for own, rest in (halves, halves[::-1]) for other in (_counts(rest),) for n in own] or [0.0]
         mean = sum(each) / len(each)
-        dev = math.sqrt(sum((x - mean) ** 2 for x in each) / len(each))
         spread = [diversity(n) for n in files] or [1.0]
-        usual = median(spread)  # the sample holds generated files too: they must not move the limit
-        apart = 1.4826 * median(abs(x - usual) for x in spread)
-        models[ext] = (bits, unseen, mean + MANGLED_DEVIATIONS * max(dev, 0.05), usual - TEMPLATE_DEVIATIONS * max(apart, 0.02))
+        usual = median(spread)  # there are generated files too: they must not move the limit
+        models[ext] = (_counts(files), UNSEEN, *_limits(mean, math.sqrt(sum((x - mean) ** 2 for x in each) / len(each)), usual, median(abs(x - usual) for x in spread)))
     return models
 
 
+def _medians(values: DataFrame) -> dict[str, float]:
+    """Extension -> exact median of (ext, x); the numbers are sorted on disk where they don't fit in memory."""
+    size = {r.ext: r.n for r in values.groupBy("ext").agg(F.count("*").alias("n")).collect()}
+    if not size:
+        return {}
+    ranks = values.withColumn("i", F.row_number().over(Window.partitionBy("ext").orderBy("x")))
+    middle = [(F.col("ext") == e) & F.col("i").isin((n + 1) // 2, n // 2 + 1) for e, n in size.items()]
+    found: dict[str, list[float]] = {}
+    for r in ranks.where(reduce(or_, middle)).collect():
+        found.setdefault(r.ext, []).append(r.x)
+    return {e: sum(x) / len(x) for e, x in found.items()}
+
+
+def train_on(source: DataFrame) -> dict[str, tuple[dict[str, float], float, float, float]]:
+    """``train`` on all files of (project, file, text). The names of plain files are written once; trigrams are counted and
+    files measured where the names are read, so that the driver gets the models (distinct trigrams) and a few numbers only.
+    The half of a file is drawn by a hash of its path."""
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for half, file, text in zip(*(b.column(i) for i in range(3))):
+                ext, text = file.as_py().rpartition(".")[2].lower(), text.as_py()
+                if _is_plain(text, n := names_of(text, ext)):
+                    rows.append((ext, half.as_py(), n, diversity(n)))
+                if len(rows) == 1000:
+                    yield _batch(rows, _NAMES)
+                    rows = []
+            yield _batch(rows, _NAMES)
+
+    half = F.pmod(F.xxhash64("project", "file"), F.lit(2)).cast("int")
+    names = stage(source.select(half.alias("half"), "file", "text").mapInArrow(plain, "ext string, half int, names array<string>, x double"), "names")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
+        def counted():
+            n: Counter = Counter()
+            for (ext, half, w), k in words.items():
+                w = f"^^{w.lower()}$"
+                for i in range(len(w) - 2):
+                    n[ext, half, w[i:i + 3]] += k
+            return _batch([(*g, k) for g, k in n.items()], _GRAMS)
+
+        for b in batches:
+            for ext, half, ws in zip(*(b.column(i).to_pylist() for i in range(3))):
+                words.update((ext, half, w) for w in ws)
+                if len(words) > 200_000:
+                    yield counted()
+                    words.clear()
+        yield counted()
+
+    counts: dict[str, tuple[Counter, Counter]] = {e: (Counter(), Counter()) for e in _CODE}
+    for r in names.select("ext", "half", "names").mapInArrow(grams, "ext string, half int, gram string, n bigint").groupBy("ext", "half", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.ext][r.half][r.gram] = r.n
+    # a half without files is measured by the other's own model
+    halves = {e: tuple(_bits(c[1 - i] or c[i]) for i in range(2)) for e, c in counts.items()}
+    shared = source.sparkSession.sparkContext.broadcast(halves)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(ext, entropy(ws, shared.value[ext][half], UNSEEN), x) for ext, half, ws, x in zip(*(b.column(i).to_pylist() for i in range(4)))]
+            yield _batch(rows, _MEASURES)
+
+    each = stage(names.mapInArrow(measured, "ext string, bits double, x double"), "measures")
+    usual = _medians(each.select("ext", "x"))
+    at = F.coalesce(*(F.when(F.col("ext") == e, F.lit(v)) for e, v in usual.items()), F.lit(1.0))
+    apart = _medians(each.select("ext", F.abs(F.col("x") - at).alias("x")))
+    spread = {r.ext: (r.mean, r.dev) for r in each.groupBy("ext").agg(F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("dev")).collect()}
+    return {e: (_bits(counts[e][0] + counts[e][1]), UNSEEN, *_limits(*spread.get(e, (0.0, 0.0)), usual.get(e, 1.0), apart.get(e, 0.0))) for e in _CODE}
+
+
+_NAMES = {"ext": pa.string(), "half": pa.int32(), "names": pa.list_(pa.string()), "x": pa.float64()}
+_GRAMS = {"ext": pa.string(), "half": pa.int32(), "gram": pa.string(), "n": pa.int64()}
+_MEASURES = {"ext": pa.string(), "bits": pa.float64(), "x": pa.float64()}
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], [*types])
+
+
 def entropy(names: list[str], bits: dict[str, float], unseen: float) -> float:
     total = n = 0
     for w, k in Counter(names).items():
@@ -234,16 +328,11 @@ def classify(corpus: DataFrame, vendors: DataFrame) -> DataFrame:
     """One row (project, file, kind) for each file of ``corpus`` (project, file, text) that nobody wrote by hand.
 
     ``vendors`` (name, url, package) is collected: it is a short hand-kept list. The models are trained on
-    ``SAMPLE_FILES`` files and sent to the executors; all files are then read where they are stored and
+    all files (``train_on``) and sent to the executors; all files are then read where they are stored and
     only the flagged ones are shuffled, to drop repeats."""
     texts = corpus.select("project", "file", "text").where("file is not null and text is not null and text <> ''")
     source = texts.where(F.lower(F.element_at(F.split("file", r"\."), -1)).isin(*_CODE))
-    # a hash threshold from the number of files lets only about twice the sample leave the tasks, at any number of tasks
-    share = min(1.0, 2 * SAMPLE_FILES / max(1, source.select("file").count()))
-    key = F.xxhash64("project", "file")
-    near = source.where(F.length("text") <= SAMPLE_CHARS).where(F.shiftrightunsigned(key, 11) <= int(share * 2**53))
-    sample = near.orderBy(key, "file").select("file", "text").limit(SAMPLE_FILES).collect()
-    models = train([(r.file.rpartition(".")[2].lower(), r.text) for r in sample])
+    models = train_on(source)
     rows = vendors.select("name", "package").distinct().collect()
     known = (sorted({r.name for r in rows if r.name}), sorted({r.package for r in rows if r.package}))
     shared = corpus.sparkSession.sparkContext.broadcast((models, known))

@@ -4,11 +4,13 @@ import collections
 import contextlib
 import io
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tesserae.llm import handwritten
 from tesserae.operators import bpe
 from tesserae.operators import repr as rendering
 from tesserae.operators import splitter
@@ -96,3 +98,21 @@ def test_a_vocabulary_of_any_size_is_split(spark):
     cache = spark.createDataFrame([("setfile", ["set", "file"])], "token string, parts array<string>")
     made = [sorted(map(tuple, splitter.split_words(v, general, cache, most_words=m).collect())) for m in (10**6, 10)]
     assert made[0] == made[1] and any(x[1] == "split" for x in made[1])
+
+
+def test_name_models_are_those_of_all_files(spark):
+    r = random.Random(9)
+    words = ["total", "amount", "user", "parse", "buffer", "index", "file", "write"]
+    body = lambda n: "".join(f"int {r.choice(words)}{r.choice(words).title()} = {r.choice(words)};\n" for _ in range(n))
+    rows = [("p", f"a/A{i}.java", body(r.randint(20, 40))) for i in range(30)] + [("p", "a/Long.java", body(3000) + "int zyxwvq = 1;\n")]
+    df = spark.createDataFrame(rows, "project string, file string, text string")
+    half = {x.file: x.h for x in df.select("file", F.pmod(F.xxhash64("project", "file"), F.lit(2)).alias("h")).collect()}
+    names = [(half[f], handwritten.names_of(t, "java")) for _, f, t in rows]
+    models = [handwritten._counts([n for h, n in names if h == i]) for i in range(2)]
+    bits = [handwritten.entropy(n, models[1 - h], handwritten.UNSEEN) for h, n in names]
+    spread = [handwritten.diversity(n) for _, n in names]
+    usual = statistics.median(spread)
+    expected = handwritten._limits(statistics.mean(bits), statistics.pstdev(bits), usual, statistics.median(abs(x - usual) for x in spread))
+    made = handwritten.train_on(df)
+    assert made["java"][0] == handwritten._counts([n for _, n in names]) and "yxw" in made["java"][0]
+    assert made["java"][2:] == pytest.approx(expected) and made["py"][0] == {}
