@@ -47,7 +47,7 @@ def learn(vocab: DataFrame, n_merges: int, words_in_task: int = 4_000_000, every
     """(rank, left, right, freq): the most frequent pair is merged, again and again; ties by pair.
 
     A vocabulary is far smaller than its corpus. It is written once; up to ``words_in_task`` words (checked) one task
-    learns on it, on flat arrays of about 100 bytes a word of nine letters; beyond that each merge is an aggregation over the distributed words,
+    learns on it, on flat arrays; beyond that each merge is an aggregation over the distributed words,
     with the lineage cut every so many merges. Both give the same merges. ``known`` merges are kept as the first
     ones, and learning goes on behind them; a list of merges is a model of ``n_merges`` rows at most and is learnt once, in this call."""
     words, spark = stage(splittable(vocab).select("token", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq")), "bpe-words"), vocab.sparkSession
