@@ -116,3 +116,21 @@ def test_name_models_are_those_of_all_files(spark):
     made = handwritten.train_on(df)
     assert made["java"][0] == handwritten._counts([n for _, n in names]) and "yxw" in made["java"][0]
     assert made["java"][2:] == pytest.approx(expected) and made["py"][0] == {}
+
+
+def test_texts_are_read_once_and_names_of_all_scripts_count(spark, tmp_path):
+    r = random.Random(5)
+    words = ["total", "$amount", "İndex", "ΣΑΣ", "имя", "名前", "x1_$", "Größe", "file", "K"]
+    lines = ["int {}{} = {};\n", "{}.{}({});\n", "if ({}.{} > {}) return;\n", "{}({}, {});\n", "for (int {} : {}.{}()) {{}}\n", "return {} + {} - {};\n", "{}[{}] = {};\n", "new {}<{}>({});\n"]
+    body = lambda n: "".join(line.format(*r.choices(words, k=3)) for line in lines * n)
+    rows = [("p", f"a/A{i}.java", body(r.randint(3, 5))) for i in range(30)] + [("p", "a/G.java", "// Generated by x. Do not edit.\n" + body(4)), ("p", "a/n.xml", "<a/>")]
+    spark.createDataFrame(rows, "project string, file string, text string").write.parquet(str(tmp_path / "corpus"))
+    df = spark.read.parquet(str(tmp_path / "corpus"))
+    found = handwritten.classify(df, spark.createDataFrame([], "name string, url string, package string"))
+    assert "text#" not in plan_of(found)
+    assert [tuple(x) for x in found.collect()] == [("p", "a/G.java", "generated")]
+    names = [handwritten.names_of(t, "java") for _, f, t in rows if f[-4:] == "java"]
+    bits = handwritten._counts(names)
+    assert handwritten.train_on(df)["java"][0] == bits and any(not g.isascii() for g in bits)
+    made = handwritten._entropies([" ".join(n) for n in names], handwritten._numbered(bits))
+    assert list(made) == pytest.approx([handwritten.entropy(n, bits, handwritten.UNSEEN) for n in names])
