@@ -105,3 +105,24 @@ def test_order_of_files_does_not_matter():
 def test_deep_nesting_stays_linear():
     for ext, text in (("java", "class A { int x = " + "f(" * 2000 + "1" + ")" * 2000 + "; }"), ("js", "x = " + "new A(" * 2000 + ")" * 2000), ("js", "(" * 500 + "a" + ")" * 500), ("py", "x = " + "f(" * 1500 + ")" * 1500 + "\n")):
         assert first_error(ext, text) is None
+
+
+MARKED = ("cafe\u0301", "\u0939\u093f\u0928\u094d\u0926\u0940", "a\u203fb")
+
+
+@pytest.mark.parametrize("ext,text", [
+    *((e, t % n) for e, t in (("java", "class A { int %s = 1; }"), ("js", "var %s = 1"), ("py", "%s = 1\n"), ("xml", "<%s/>")) for n in MARKED[:2 if e == "xml" else 3]),
+    ("java", "class A { int a\u200cb, c\u00add, \u20ac, x\u20ac, class\u0301, y\x85; }"), ("js", "class A { #e\u0301 = 1 }\nvar a\ufeff =\u3000 1"), ("xml", "<a e\u0301='b'/>"), ("java", 'class A { String s = "C:\\\\users"; } // \\uu0041'),
+])
+def test_names_with_signs_that_are_no_letters(ext, text):
+    assert first_error(ext, text) is None
+    if ext == "py":
+        ast.parse(text)
+
+
+@pytest.mark.parametrize("ext,text,line", [
+    ("java", "class A { }\n\u0301", 2), ("java", "class A {\u00a0}", 1), ("java", "class A { }\n\x0b", 2), ("java", "class A { }\n\u2028", 2), ("java", "class A {\r\n// C:\\users\r\n}", 2), ("js", "var a\n\x85", 2), ("js", "var \u0301a", 1),
+    ("py", "\u0301a = 1\n", 1), ("py", "a = 1\n# \0\n", 2), ("xml", "<a\u00a0b='c'/>", 1), ("xml", "<a/>\u3000", 1), ("xml", "<\u0301a/>", 1),
+])
+def test_signs_that_no_file_may_have_there(ext, text, line):
+    assert first_error(ext, text)[0] == line
