@@ -126,3 +126,17 @@ def test_names_with_signs_that_are_no_letters(ext, text):
 ])
 def test_signs_that_no_file_may_have_there(ext, text, line):
     assert first_error(ext, text)[0] == line
+
+
+@pytest.mark.parametrize("text", ["match w := x,:\n    case y: pass\n", "match a, *b, c := d:\n    case y: pass\n", 'f"{a = # b\n  }"\n', 'f"{a!r # b\n:>{c}}"\n'])
+def test_python_assignments_in_subjects_and_comments_in_fields(text):
+    assert first_error("py", text) is None
+    ast.parse(text)
+    assert first_error("py", text + "1 2\n")[0] == text.count("\n") + 1
+
+
+@pytest.mark.parametrize("word,valid", [(w, False) for w in "default double final long native new private public short static volatile".split()] + [(w, True) for w in "module open permits record sealed tiny var yield".split()])
+def test_words_of_java_in_names_of_packages(word, valid):
+    """Judged by javac 17: a reserved word is no part of a package's name, a contextual one is."""
+    for text in (f"package net.{word}.a;\n\nclass B {{ }}\n", f"import net.{word}.a.C;\n\nclass B {{ }}\n"):
+        assert (first_error("java", text) is None) is valid
