@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import code, markers as M
 from tesserae.functions import text
 from tesserae.operators import bpe, compare, repr as rendering, splitter, vocab
-from tesserae.operators.config import SplitConfig
+from tesserae.operators.config import MERGES, Code, SplitConfig
 from tesserae.plans.staging import stage
 
 from .base import query
@@ -213,8 +213,8 @@ for _code in ("000000", "101110", "021101", "011101", "001101", "102111", "20311
 
 @query()
 def render_104111(t):
-    """Rendered with byte pairs learnt from the corpus' own words."""
-    merges = bpe.learn(_lower_vocab(t), 300)
+    """Rendered with byte pairs learnt from the corpus' own words, as many as the code's split digit says."""
+    merges = bpe.learn(_lower_vocab(t), MERGES[Code.parse("104111").split])
     ranks = {(r["left"], r["right"]): r["rank"] for r in merges.collect()}
     return rendering.rendered_vocabulary(_java(t), "104111", SplitConfig("bpe", merges=ranks))
 

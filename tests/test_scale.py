@@ -89,6 +89,19 @@ def test_rendered_tokens_are_counted_where_they_are_rendered(spark):
     assert "Generate" not in plan_of(entry.queries()["render_104111"](spark, "/root/testdata/sf0.001"))
 
 
+def test_the_rendered_corpus_has_all_merges_of_its_code(spark, tmp_path):
+    r = random.Random(5)
+    freqs = {"".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9))): r.randint(1, 9) for _ in range(300)}
+    spark.createDataFrame([*freqs.items()], "token string, freq bigint").write.parquet(str(tmp_path / "partial_vocab.parquet"))
+    text = "\n".join(f"{w} = {w};" for w in freqs)
+    spark.createDataFrame([("p", "A.java", text)], "project string, file string, text string").write.parquet(str(tmp_path / "raw_corpus.parquet"))
+    merges = bpe.learned([*freqs.items()], 5000)
+    assert 300 < len(merges) < 5000
+    made = {x.token: x.freq for x in entry.queries()["render_104111"](spark, str(tmp_path)).collect()}
+    # fewer merges than 5,000 can be learnt, so every word is whole
+    assert made == {**dict.fromkeys(freqs, 2), "=": len(freqs), ";": len(freqs)}
+
+
 def test_a_vocabulary_of_any_size_is_split(spark):
     r = random.Random(4)
     parts = ["get", "set", "user", "name", "file", "é", "a", "x1"]
