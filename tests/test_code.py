@@ -1,5 +1,7 @@
 """Golden cases of tokenizing, segmenting, marking and rendering."""
 
+import random
+
 import pytest
 
 from tesserae.functions import code, markers as M
@@ -112,3 +114,13 @@ def test_configs():
     assert nearest(b, {"p": a, "q": {"x": {}}})[0] == "p" and patched(a, {"x.y": 5})["x"]["y"] == 5
     with pytest.raises(AttributeError):
         patched(a, {"x.q": 1})
+
+
+def test_short_cuts_of_the_tokenizer_change_nothing():
+    r = random.Random(6)
+    words = ["".join(r.choice("aBCd_019$") for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    assert all(code._ASCII_PARTS.findall(w) == code._PARTS.findall(w) for w in words)
+    assert {s[0] for s in code._TWO} <= set(code._ONE)
+    assert [(t.kind, t.text) for t in code.split_line("a /* b*c */ d **= 1")] == [("ident", "a"), ("op", "/*"), ("ident", "b"), ("op", "*"), ("ident", "c"), ("op", "*/"), ("ident", "d"), ("op", "**"), ("op", "="), ("ident", "1")]
+    rendering = Code.parse("101111").rendering()
+    assert [code.render(code.parse(t), rendering) for t in ("getURL", "été getURL", "getURL")] == [["`w", "get", "`Cs", "url", "w`"], ["`E", "`w", "get", "`Cs", "url", "w`"], ["`w", "get", "`Cs", "url", "w`"]]
